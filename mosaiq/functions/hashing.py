@@ -39,6 +39,10 @@ def block_hash(block: Column | str) -> Column:
     """The hash of 64 low-frequency coefficients: a bit, first the highest, is set where one exceeds the median of all but the first."""
     block = F.col(block) if isinstance(block, str) else block
     x = F.transform(block, lambda v: v.cast("double"))
-    median = F.element_at(F.array_sort(F.slice(x, 2, 63)), 32)
-    bit = F.transform(x, lambda v, i: F.when(v > median, F.call_function("shiftleft", F.lit(1).cast("long"), 63 - i)).otherwise(F.lit(0).cast("long")))
-    return F.aggregate(bit, F.lit(0).cast("long"), lambda acc, v: acc.bitwiseOR(v))
+    # one row's values and median are computed once, as fields of a single element, not once for each of the 64 bits
+    both = F.array(F.struct(x.alias("x"), F.element_at(F.array_sort(F.slice(x, 2, 63)), 32).alias("median")))
+
+    def pack(s: Column) -> Column:
+        return F.aggregate(s["x"], F.lit(0).cast("long"), lambda acc, v: F.shiftleft(acc, 1).bitwiseOR(F.when(v > s["median"], F.lit(1)).otherwise(F.lit(0)).cast("long")))
+
+    return F.element_at(F.transform(both, pack), 1)

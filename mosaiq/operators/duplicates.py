@@ -11,8 +11,8 @@ from mosaiq.functions.hashing import classify, hamming, hash_bits, is_hash
 from mosaiq.operators.skew import skew_join
 from mosaiq.runtime import Scratch
 
-#: Up to this distance bands are cheaper than comparing every two distinct hashes block by block.
-BANDED = 18
+#: Hashes that one task expands to all values within a radius.
+PER_TASK = 10_000
 
 
 def near_duplicates_of(pins: DataFrame, phash: str, *, threshold: int = 10, exclude=None, limit: int | None = None) -> DataFrame:
@@ -66,7 +66,8 @@ def near_hashes(hashes: DataFrame, threshold: int) -> DataFrame:
         flips = [sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(width), r)]
         near.append(_around(i, value, flips))
     stored = s.save(distinct.select(F.col("h").alias("b"), F.explode(F.array(*own)).alias("at")).select("b", "at.*"), "stored")
-    probes = s.save(distinct.select(F.col("h").alias("a"), F.explode(F.concat(*near)).alias("at")).select("a", "at.*"), "probes")
+    spread = distinct.repartition(-(-distinct.count() // PER_TASK) or 1, "h")  # each row gives hundreds
+    probes = s.save(spread.select(F.col("h").alias("a"), F.explode(F.concat(*near)).alias("at")).select("a", "at.*"), "probes")
     found = skew_join(probes, stored, ["band", "v"]).filter("a < b").withColumn("distance", hamming(F.col("a"), F.col("b"))).filter(F.col("distance") <= threshold)
     x = F.col("a").bitwiseXOR(F.col("b"))
     first = F.lit(len(plan))

@@ -90,19 +90,25 @@ def k_means(pixels, k: int = 5, seed: int = 1) -> dict:
         return {"swatches": [], "iterations": 0, "inertia": 0.0}
     k = max(1, min(k, len(px)))
     centres = _first_centres(px, k, Uniform(seed))
-    turns = 0
+    channels = np.ascontiguousarray(px.T)
+    turns, before = 0, centres
     while turns < MOST_TURNS:
         turns += 1
-        d = ((px[:, None, :] - centres[None]) ** 2).sum(2)
-        nearest = d.argmin(1)
+        before = centres.copy()
+        # the square of a pixel is the same for all centres: one matrix product leaves the order of their distances
+        scores = (centres**2).sum(1)[:, None] - 2 * centres @ channels
+        nearest, least = np.zeros(len(px), np.int64), scores[0].copy()
+        for i in range(1, k):
+            nearest[scores[i] < least] = i
+            np.minimum(least, scores[i], out=least)
         counts = np.bincount(nearest, minlength=k)
-        inertia = float(d[np.arange(len(px)), nearest].mean())
         used = counts > 0
-        means = np.stack([np.bincount(nearest, px[:, i], k) for i in range(3)], 1)[used] / counts[used, None]
+        means = np.stack([np.bincount(nearest, x, k) for x in channels], 1)[used] / counts[used, None]
         moved = np.sqrt(((means - centres[used]) ** 2).sum(1)).max()
         centres[used] = means
         if moved < STILL:
             break
+    inertia = float(((px - before[nearest]) ** 2).sum(1).mean())
     colours = np.floor(centres + 0.5).astype(int)
     swatches = [{"r": int(r), "g": int(g), "b": int(b), "hex": f"#{r:02x}{g:02x}{b:02x}", "share": float(n / len(px))} for (r, g, b), n in zip(colours, counts, strict=True) if n]
     return {"swatches": sorted(swatches, key=lambda s: (-s["share"], s["hex"])), "iterations": turns, "inertia": inertia}

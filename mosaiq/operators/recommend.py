@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from mosaiq.functions.dates import epoch_ms, recency
 from mosaiq.functions.text import document_text, tokens
+from mosaiq.runtime import Scratch
 
 WEIGHTS = {"content": 0.45, "collaborative": 0.35, "popularity": 0.10, "recency": 0.10}
 HALF_POINT = 5
@@ -95,6 +96,7 @@ def make_hybrid(weights: dict[str, float] | None = None) -> Callable[..., DataFr
         rows = pins.filter(F.col("id") != subject_id).select("id", recency(epoch_ms("created_at"), now).alias("r"))
         rows = rows.join(content, "id").join(shared, "id").join(counts, "id", "left").withColumn("s", F.coalesce("s", F.lit(0)))
         rows = rows.withColumn("p", F.col("s") / (F.col("s") + HALF_POINT))
+        rows = Scratch(pins.sparkSession, "hybrid").save(rows, "parts")  # read twice
         rows = rows.join(F.broadcast(rows.agg(*[F.max(x).alias(f"m{x}") for x in "ckpr"])))  # one row
         share = lambda x: F.when(F.col(f"m{x}") > 0, F.col(x) / F.col(f"m{x}")).otherwise(0.0)
         signal = F.col("mk") > 0

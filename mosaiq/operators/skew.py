@@ -5,31 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A key with more rows than this, and than a HOT_SHARE-th of its side, is split over several tasks.
+#: A key with more rows than this is split over several tasks; of more than MOST_HOT such keys, the largest.
 HOT_ROWS = 100_000
-HOT_SHARE = 1024
+MOST_HOT = 4096
 
 
-def hot_keys(df: DataFrame, on: list[str], least: int) -> tuple[dict[tuple, int], int]:
-    """Keys above max(least, rows / HOT_SHARE) rows, with their number of rows; and that limit.
+def hot_keys(sides: list[DataFrame], on: list[str], least: int) -> list[dict[tuple, int]]:
+    """For each side, keys with more than `least` rows and their number of rows; MOST_HOT keys in all, the largest.
 
-    Counting is combined map-side. There can't be more than HOT_SHARE such keys, whatever the size of df.
+    One job for all sides, counted map-side. A key beyond the MOST_HOT largest has less than a MOST_HOT-th of the rows, so
+    that it needs no splitting; what comes to the driver has that bound whatever the size of the sides.
     """
-    limit = max(least, df.count() // HOT_SHARE)
-    counted = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > limit)
-    return {tuple(r[c] for c in on): r["_rows"] for r in counted.collect()}, limit
+    every = [df.filter(" and ".join(f"`{c}` is not null" for c in on)).select(F.lit(i).alias("_side"), *on) for i, df in enumerate(sides)]
+    keys = every[0]
+    for other in every[1:]:
+        keys = keys.unionByName(other)
+    counted = keys.groupBy("_side", *on).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > least)
+    out: list[dict[tuple, int]] = [{} for _ in sides]
+    for r in counted.orderBy(F.desc("_rows")).limit(MOST_HOT).collect():
+        out[r["_side"]][tuple(r[c] for c in on)] = r["_rows"]
+    return out
 
 
 def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", *, least: int = HOT_ROWS, unique: bool = False) -> DataFrame:
     """left.join(right, on, how), with hot keys cut into blocks on both sides.
 
     Rows of a hot key get a block number from their own hash; each block of one side meets each block of the other
-    exactly once, so the result is that of the plain join. The table of hot keys has at most 2 * HOT_SHARE rows and is
-    the only thing broadcast. how: inner; left and left_anti split the left side only. unique: right has one row a key.
-    left and right are scanned twice: pass written tables. Null keys never match, as in SQL.
+    exactly once, so the result is that of the plain join. The table of hot keys has at most MOST_HOT rows and is the
+    only thing broadcast. how: inner; left and left_anti split the left side only. unique: right has one row a key.
+    The sides are scanned twice: pass written tables. Null keys never match, as in SQL.
     """
-    hot_left, limit = hot_keys(left.filter(" and ".join(f"`{c}` is not null" for c in on)), on, least)
-    hot_right = {} if unique or how != "inner" else hot_keys(right, on, least)[0]
+    both = not unique and how == "inner"
+    found = hot_keys([left, right] if both else [left], on, least)
+    hot_left, hot_right, limit = found[0], found[1] if both else {}, least
     keys = hot_left.keys() | hot_right.keys()
     if not keys:
         return left.join(right, on, how)

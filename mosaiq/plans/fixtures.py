@@ -44,7 +44,9 @@ def images(spark: SparkSession, d: str) -> DataFrame:
         gray = [np.clip(128 + 400 * (c.T @ np.asarray(v, float).reshape(8, 8) @ c), 0, 255) for v in vectors]
         return pd.DataFrame({"gray": [g.ravel().tolist() for g in gray], "pixels": [np.stack([g, g.T, 255 - g], 2).astype(int).ravel().tolist() for g in gray]})
 
-    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), draw("embedding").alias("m")).select("id", "m.*")
+    # one small file would be one task: vectors are spread before they become pictures
+    vectors = table(spark, d, "embeddings").select("vec_id", "embedding").repartition(spark.sparkContext.defaultParallelism, "vec_id")
+    return vectors.select(F.col("vec_id").alias("id"), draw("embedding").alias("m")).select("id", "m.*")
 
 
 def external(spark: SparkSession, d: str) -> DataFrame:
