@@ -13,6 +13,9 @@ from mosaiq.runtime import Scratch
 #: The fixed pivot: the fraction of the golden ratio in 64 bits, as a signed number.
 PIVOT = 0x9E3779B97F4A7C15 - (1 << 64)
 
+#: Hashes that one task expands to the cells within the radius.
+PER_TASK = 10_000
+
 
 def valid_hash(phash: Column | str) -> Column:
     """The 64-bit number of a hash of exactly 16 lower-case hex digits; null for any other value."""
@@ -38,6 +41,11 @@ def bands(limit: int, count: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def _around(band: int, cell: Column, flips: list[int]) -> Column:
+    """(band, cell) for each of the cells that differ from `cell` by one of flips; flips are one literal array."""
+    return F.transform(F.array(*[F.lit(x).cast("long") for x in flips]), lambda x: F.struct(F.lit(band).alias("band"), cell.bitwiseXOR(x).alias("cell")))
+
+
 class PivotTable:
     """Distances from all accepted hashes to a fixed pivot, kept in the shared folder and only ever appended to.
 
@@ -58,10 +66,10 @@ class PivotTable:
         away = F.col("hash").bitwiseXOR(F.lit(PIVOT))
         each = []
         for band, (shift, width, radius) in enumerate(self.bands):
-            cell = F.shiftrightunsigned(away, shift).bitwiseAND((1 << width) - 1)
+            cell = away if width == 64 else F.shiftrightunsigned(away, shift).bitwiseAND((1 << width) - 1)
             flips = [sum(1 << i for i in bits) for r in range(radius + 1) for bits in combinations(range(width), r)] if near else [0]
-            each.append(F.array(*[F.struct(F.lit(band).alias("band"), cell.bitwiseXOR(F.lit(x).cast("long")).alias("cell")) for x in flips]))
-        return hashes.select(F.col("hash").alias(name), F.explode(F.concat(*each)).alias("at")).select(name, "at.band", "at.cell")
+            each.append(_around(band, cell, flips))
+        return hashes.select("hash", F.explode(F.concat(*each)).alias("at")).select(F.col("hash").alias(name), "at.band", "at.cell")
 
     def append(self, hashes: DataFrame) -> None:
         """Adds distinct non-null hashes (column hash)."""
@@ -72,7 +80,8 @@ class PivotTable:
 
     def near(self, hashes: DataFrame, tag: str) -> DataFrame:
         """(probe, hash): the table's hashes within the limit of each probe, a row for each band that finds them."""
-        probes = self.s.save(self._cells(hashes, "probe", True), f"probes-{tag}")
+        spread = hashes.repartition(-(-hashes.count() // PER_TASK) or 1, "hash")  # each row gives 148
+        probes = self.s.save(self._cells(spread, "probe", True), f"probes-{tag}")
         found = skew_join(probes, self.rows, ["band", "cell"])
         return found.filter(hamming("probe", "hash") <= self.limit).select("probe", "hash")
 
