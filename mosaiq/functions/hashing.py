@@ -23,6 +23,12 @@ def hash_text(bits: Column | str) -> Column:
     return F.lpad(F.lower(F.hex(F.col(bits) if isinstance(bits, str) else bits)), 16, "0")
 
 
+def bit_array(bits: Column | str) -> Column:
+    """The 64 bits as booleans, the highest first."""
+    bits = F.col(bits) if isinstance(bits, str) else bits
+    return F.array(*[F.shiftright(bits, 63 - i).bitwiseAND(1) == 1 for i in range(64)])
+
+
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mosaiq.functions.hashing import classify, hamming, hash_bits, is_hash
+from mosaiq.operators.filters import visible_to
 from mosaiq.operators.skew import skew_join
 from mosaiq.runtime import Scratch
 
@@ -29,6 +30,11 @@ def near_duplicates_of(pins: DataFrame, phash: str, *, threshold: int = 10, excl
     return rows.limit(limit) if limit else rows
 
 
+def duplicate_guard(pins: DataFrame, phash: str, viewer: str | None = None, threshold: int = 10) -> DataFrame:
+    """The nearest visible pin within the threshold of a new image's hash; no row if the image is new."""
+    return near_duplicates_of(pins.filter(visible_to(viewer)), phash, threshold=threshold, limit=1)
+
+
 def _band_plan(threshold: int) -> list[tuple[int, int, int]]:
     """(shift, width, radius) with the sum of radius + 1 over the bands equal to threshold + 1: one band is within its radius."""
     count = max(1, min(threshold + 1, (threshold + 2) // 2))

@@ -150,6 +150,7 @@ SQL: dict[str, str] = {
     "near_duplicate_pairs": f"WITH {pairs(HASHES, 18)} SELECT a, b, distance, {VERDICT} AS verdict FROM pairs",
     "pin_duplicate_pairs": f"WITH {pairs(PIN_HASHES, 10)} SELECT a, b, distance, {VERDICT} AS verdict FROM pairs",
     "near_duplicates_of": f"WITH {PIN_HASHES}, probe AS (SELECT h AS ph FROM hashes GROUP BY h ORDER BY count(*) DESC, h LIMIT 1), d AS (SELECT id, bit_count(xor(h, ph))::INT AS distance FROM hashes, probe) SELECT id, distance, {VERDICT} AS verdict FROM d WHERE distance <= 20 ORDER BY distance, id LIMIT 50",
+    "duplicate_guard": f"WITH {PIN_HASHES}, probe AS (SELECT h AS ph FROM hashes ORDER BY id LIMIT 1), d AS (SELECT hashes.id, bit_count(xor(h, ph))::INT AS distance FROM hashes JOIN p ON p.id = hashes.id, probe WHERE {MINE}) SELECT distance, {VERDICT} AS verdict FROM d WHERE distance <= 10 ORDER BY distance, id LIMIT 1",
     "duplicate_clusters": f"WITH RECURSIVE {groups(HASHES, 18)} SELECT m.group_id, m.id, size, max_distance FROM member m JOIN wide w ON w.group_id = m.group_id JOIN sized z ON z.group_id = m.group_id",
     "pin_duplicate_groups": f"WITH RECURSIVE {groups(PIN_HASHES, 10)} SELECT m.group_id, m.id, size, max_distance FROM member m JOIN wide w ON w.group_id = m.group_id JOIN sized z ON z.group_id = m.group_id",
     "cluster_width": f"WITH RECURSIVE {groups(HASHES, 18)} SELECT w.group_id, size, max_distance FROM wide w JOIN sized z ON z.group_id = w.group_id",
@@ -213,6 +214,7 @@ SELECT id, pos::INT AS pos, {HEX} AS hex, round(l, 6) AS l, round(a, 6) AS a, ro
   round(luminance, 6) AS luminance, CASE WHEN luminance > 0.179 THEN '#000000' ELSE '#ffffff' END AS "on", {FAMILY} AS family FROM lum""",
     "palette_drift": f"""WITH {SWATCHES}, other AS (SELECT id, pos, least(255, r + 7) AS r, g, b FROM swatches), {lab("swatches", "x")}, {lab("other", "y")},
 near AS (SELECT x.id, x.pos, min(sqrt(power(x.l - y.l, 2) + power(x.a - y.a, 2) + power(x.b_star - y.b_star, 2))) AS d FROM x JOIN y ON y.id = x.id GROUP BY x.id, x.pos) SELECT id, round(max(d), 6) AS drift FROM near GROUP BY id""",
+    "pins_with_palette": f"WITH {P} SELECT id, {MS} AS created_ms FROM p WHERE {MINE} AND length(id) % 3 = 0 ORDER BY created_at DESC, id DESC LIMIT 100",
     "activity_14d": f"WITH {P}, days AS (SELECT CAST(d AS DATE) AS day FROM unnest(generate_series(DATE '2024-12-18', DATE '2024-12-31', INTERVAL 1 DAY)) AS g(d)) SELECT CAST(day AS VARCHAR) AS day, count(id) AS pins FROM days LEFT JOIN p ON CAST(created_at AS DATE) = day GROUP BY day",
     "board_counts": f"WITH {PSC} SELECT (SELECT count(*) FROM p WHERE author_id = '{AUTHOR}') AS mine, (SELECT count(*) FROM s WHERE user_id = '{AUTHOR}') AS saved, (SELECT count(*) FROM c WHERE pin_id IN (SELECT id FROM p WHERE author_id = '{AUTHOR}')) AS comments",
     "duplicate_counts": f"WITH RECURSIVE {groups(PIN_HASHES, 10)} SELECT count(DISTINCT group_id) AS duplicate_groups, count(*) AS duplicate_pins FROM member",

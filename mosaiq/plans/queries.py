@@ -69,6 +69,13 @@ def near_duplicates_of(spark, d):
     return duplicates.near_duplicates_of(p, probe["phash"] if probe else "0" * 16, threshold=20, limit=50).select("id", "distance", "verdict")
 
 
+@query
+def duplicate_guard(spark, d):
+    p = tables.pins(spark, d, "phash", "author_id", "visibility")
+    first = p.filter(H.is_hash("phash")).orderBy("id").first()
+    return duplicates.duplicate_guard(p, first["phash"] if first else "0" * 16, X.AUTHOR).select("distance", "verdict")
+
+
 @query
 def duplicate_clusters(spark, d):
     return duplicates.duplicate_groups(X.vector_hashes(spark, d), 18)
@@ -348,6 +355,17 @@ def palette_drift(spark, d):
     return _round(colors.palette_drift(a, b), "drift")
 
 
+@query
+def pins_with_palette(spark, d):
+    """Pins that have a palette of given families; a pin's palette here is one swatch, told by the length of its id."""
+    p = tables.pins(spark, d, "created_at", "author_id", "visibility")
+    kind = F.length("id") % 3
+    one = lambda r, g, b: F.array(F.struct(F.lit(r).alias("r"), F.lit(g).alias("g"), F.lit(b).alias("b"), F.lit("").alias("hex"), F.lit(1.0).alias("share")))
+    p = p.withColumn("palette", F.when(kind == 0, one(224, 36, 36)).when(kind == 1, one(37, 99, 235)))
+    p = p.withColumn("color_families", F.transform("palette", lambda s: C.family(C.Rgb(s["r"], s["g"], s["b"]))))
+    return _ms(store.pins_with_palette(p, families=C.families_near(220, 40, 40), viewer=X.AUTHOR, limit=100))
+
+
 # dashboard
 
 

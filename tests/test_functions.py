@@ -59,6 +59,7 @@ def test_colours(spark):
 def test_hashes(spark):
     top = "8000000000000001"
     assert one(spark, H.hash_text(H.hash_bits(F.lit(top))), H.hamming(H.hash_bits(F.lit(top)), H.hash_bits(F.lit("f" * 16)))) == (top, 62)
+    assert one(spark, H.bit_array(H.hash_bits(F.lit(top))))[0] == [i in (0, 63) for i in range(64)]
     assert one(spark, *[H.is_hash(F.lit(x)) for x in ("F" * 16, "f" * 15, "f" * 16 + "\n", "f" * 16)]) == (False, False, False, True)
     assert one(spark, *[H.classify(F.lit(x)) for x in (4, 5, 10, 11)]) == ("identical", "near-duplicate", "near-duplicate", "distinct")
 

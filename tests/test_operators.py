@@ -270,6 +270,17 @@ def test_sinks_and_tables(spark, tmp_path):
     assert [r.image_url for r in seeded.collect()] == ["https://e.invalid/x", "f"]
 
 
+def test_seed(spark):
+    from mosaiq.sources.seed import seed
+
+    now = 1_700_000_000_000
+    got = seed(spark, [{"id": str(i), "title": f"t{i}", "author_id": "a", "days_ago": float(20 - i)} for i in range(1, 15)], [{"id": "a", "name": "Ann"}], {"a": ["1", "2", "1"], "b": []}, [{"pin_id": "1", "author_id": "a", "body": "hi", "minutes_ago": 5}], now)
+    first = paging.list_pins(got["pins"], limit=3)
+    assert [r.id for r in first.rows.collect()] == ["14", "13", "12"]
+    assert [r.id for r in paging.list_pins(got["pins"], limit=3, cursor=first.next_cursor()).rows.collect()] == ["11", "10", "9"]
+    assert got["saves"].count() == 2 and tables.thread(got["comments"].withColumn("author", F.lit("x")), got["users"], "1").first().author == "Ann"
+
+
 def test_streams(spark, tmp_path):
     from mosaiq.streaming import comments as live
 
