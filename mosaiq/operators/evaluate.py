@@ -66,16 +66,19 @@ def group_stats(values: DataFrame, group: str, value: str = "distance", caught:
     return rows.join(_pick(values, [group], value, lambda n: F.floor(n / 2)).withColumnRenamed(value, "median"), group)
 
 
-def labelled_distances(samples: DataFrame, originals: DataFrame) -> DataFrame:
-    """(pin_id, edit, original_id, positive, distance): every sample against every original, as an evaluation defines it.
+#: An evaluation's originals are a fixed set; it is broadcast, and refused above this number.
+MOST_ORIGINALS = 10_000
 
-    samples: (pin_id, edit, h); originals: (pin_id, h), the evaluation's fixed set of photographs, which is broadcast: it
-    is refused above 10,000 rows.
-    """
 
+def labelled_distances(samples: DataFrame, originals: DataFrame, truth: str = "pin_id") -> DataFrame:
+    """The columns of samples with original_id, positive and distance: every sample against every original but itself.
 
-    if originals.limit(10_001).count() > 10_000:
-        raise ValueError("an evaluation compares every sample with every original: give at most 10,000 originals")
-    o = originals.select(F.col("pin_id").alias("original_id"), F.col("h").alias("oh"))
-    rows = samples.join(F.broadcast(o))
-    return rows.select("pin_id", "edit", "original_id", (F.col("pin_id") == F.col("original_id")).alias("positive"), hamming(F.col("h"), F.col("oh")).alias("distance"))
+    samples: (id, h, truth, ...); originals: (id, h, truth). A pair is positive if both have the same truth. This
+    is quadratic by definition, a stated set of originals against all samples, so their number is checked before they are
+    broadcast.
+    """
+    if originals.limit(MOST_ORIGINALS + 1).count() > MOST_ORIGINALS:
+        raise ValueError(f"an evaluation compares every sample with every original: give at most {MOST_ORIGINALS:,} originals")
+    o = originals.select(F.col("id").alias("original_id"), F.col("h").alias("_h"), F.col(truth).alias("_truth"))
+    rows = samples.join(F.broadcast(o), F.col("id") != F.col("original_id"))
+    return rows.withColumn("positive", F.col(truth) == F.col("_truth")).withColumn("distance", hamming(F.col("h"), F.col("_h"))).drop("_h", "_truth")

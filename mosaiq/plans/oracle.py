@@ -115,7 +115,7 @@ SELECT scored.id, round(score, 6) AS score, hex AS closest_hex, round(share, 6)
 FROM scored JOIN closest ON closest.id = scored.id AND n = 1 WHERE score >= 0.04 ORDER BY round(scored.score, 9) DESC, scored.id LIMIT 60"""
 
 
-DISTANCES = f"""{HASHES}, distances AS (SELECT x.label, x.label = y.label AS positive, bit_count(xor(x.h, y.h))::INT AS distance FROM hashes x JOIN hashes y ON y.id < 100 AND x.id <> y.id)"""
+DISTANCES = f"""{HASHES}, distances AS (SELECT x.label, x.label = y.label AS positive, bit_count(xor(x.h, y.h))::INT AS distance FROM hashes x JOIN hashes y ON y.id % 50 = 0 AND x.id <> y.id)"""
 SWEEP = f"""{DISTANCES}, counts AS (SELECT threshold::INT AS threshold, count(*) FILTER (positive AND distance <= threshold) AS tp, count(*) FILTER (positive AND distance > threshold) AS fn,
   count(*) FILTER (NOT positive AND distance <= threshold) AS fp FROM distances, range(0, 65) AS r(threshold) GROUP BY threshold),
 ratios AS (SELECT *, CASE WHEN tp + fp = 0 THEN 1 ELSE tp::DOUBLE / (tp + fp) END AS precision, CASE WHEN tp + fn = 0 THEN 1 ELSE tp::DOUBLE / (tp + fn) END AS recall FROM counts),
