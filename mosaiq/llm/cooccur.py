@@ -56,10 +56,12 @@ def cooccurring_items(sets: DataFrame, *, least: int = 1, share: str = "0", lift
     rows = s.save(sets.select("id", F.explode("items").alias("item")), "rows")
     counts = rows.groupBy("item").agg(F.count(F.lit(1)).alias("n_item")).filter(F.col("n_item") >= need)
     items = s.save(dense_ids(s, counts, ["item"], "items", "rank"), "ranked")
+    s.drop("items")
     if items.count() >= 1 << 31:
         raise ValueError("more than 2^31 items: the pair code has 32 bits for each")
     coded = skew_join(rows, items.select("item", "rank"), ["item"], unique=True)
     coded = s.save(coded.groupBy("id").agg(F.sort_array(F.collect_list("rank")).alias("r")).filter(F.size("r") > 1).select("r"), "coded")
+    s.drop("sets", "rows")
     left = coded.select("r", F.posexplode("r").alias("pos", "x")).filter(F.col("pos") < F.size("r") - 1)
     pairs = left.select("x", F.explode(F.slice("r", F.col("pos") + 2, F.size("r"))).alias("y"))
     codes = pairs.select(F.shiftleft("x", 32).bitwiseOR(F.col("y")).alias("code"), F.lit(1).cast("long").alias("n"))
@@ -67,6 +69,7 @@ def cooccurring_items(sets: DataFrame, *, least: int = 1, share: str = "0", lift
     runs = codes.sortWithinPartitions("code").mapInArrow(run_lengths, kind)
     merged = runs.repartition("code").sortWithinPartitions("code").mapInArrow(run_lengths, kind).filter(F.col("n") >= need)
     merged = s.save(merged.select(F.shiftright("code", 32).alias("ra"), F.col("code").bitwiseAND(0xFFFFFFFF).alias("rb"), F.col("n").alias("n_ab")), "merged")
+    s.drop("coded")
     merged = s.save(skew_join(merged, items.select(F.col("rank").alias("ra"), F.col("item").alias("item_a"), F.col("n_item").alias("n_a")), ["ra"], unique=True), "merged-a")
     merged = skew_join(merged, items.select(F.col("rank").alias("rb"), F.col("item").alias("item_b"), F.col("n_item").alias("n_b")), ["rb"], unique=True)
     wide = lambda c: F.col(c).cast("decimal(19,0)") if isinstance(c, str) else F.lit(c).cast("decimal(19,0)")

@@ -116,6 +116,7 @@ class History:
         rows = s.save(batch.select("arrival_id", "hash", "author_id", "created_at").dropDuplicates(["arrival_id"]), f"{tag}-rows")
         hashes = s.save(rows.filter("hash is not null").select("hash").distinct(), f"{tag}-hashes")
         old = s.save(self.pivots.near(hashes, f"{tag}-old").select(F.col("probe").alias("hash"), F.lit(True).alias("near")).distinct(), f"{tag}-near")
+        s.drop(f"probes-{tag}-old")
         keys = self.keys.distinct().withColumn("known", F.lit(True))
         state = skew_join(rows, old, ["hash"], "left", unique=True)
         state = s.save(state, f"{tag}-hashed")
@@ -130,6 +131,7 @@ class History:
         within.parts = self.pivots.parts + 1000  # its tables have other names
         within.append(fresh_hashes)
         links = s.save(within.near(fresh_hashes, f"{tag}-new").distinct(), f"{tag}-links")
+        s.drop(f"probes-{tag}-new", f"pivots-{within.parts - 1}")
 
         open_ = s.save(fresh.select("arrival_id", "hash", "author_id", "created_at", F.lit(False).alias("accepted")), f"{tag}-open-0")
         turn = 0

@@ -54,6 +54,7 @@ def similar_classes(s: Scratch, classes: DataFrame, threshold: Fraction) -> Data
     hits = skew_join(s.save(probe.withColumnRenamed("c", "x"), "probe"), s.save(index.withColumnRenamed("c", "y"), "index"), ["rank", "kn", "km"])
     hits = hits.filter("x <> y and (kn <> km or x < y)").select(F.least("x", "y").alias("ca"), F.greatest("x", "y").alias("cb")).distinct()
     hits = s.save(hits, "hits")
+    s.drop("items", "rarity", "ranks", "probe", "index")
     sets = ranked.select("c", "r")
     hits = s.save(skew_join(hits, sets.toDF("ca", "ra"), ["ca"], unique=True), "hits-half")
     hits = skew_join(hits, sets.toDF("cb", "rb"), ["cb"], unique=True)
