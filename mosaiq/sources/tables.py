@@ -1,4 +1,4 @@
-"""Stored tables by name, with their keys made true: rows that occur twice are read once."""
+"""Stored tables by name; rows that occur twice are read once, which makes their ids keys."""
 
 from __future__ import annotations
 
@@ -20,11 +20,15 @@ PIN = T.StructType(
 
 
 def pins(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    """Pins with distinct ids; only the named columns are read and shuffled, so name those that are needed."""
+    """Pins, rows that repeat one read once; only the named columns are read and shuffled, so name those that are needed.
+
+    Repeated rows are equal in every column, so that all columns are the key: a filter on any of them goes below the
+    aggregate and into the scan, which it couldn't if rows were told apart by id alone.
+    """
     rows = table(spark, d, "pins")
     if columns:
         rows = rows.select("id", *[c for c in columns if c != "id"])
-    return rows.dropDuplicates(["id"])
+    return rows.distinct()
 
 
 def saves(spark: SparkSession, d: str) -> DataFrame:
@@ -36,7 +40,7 @@ def comments(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     rows = table(spark, d, "comments")
     if columns:
         rows = rows.select("id", *[c for c in columns if c != "id"])
-    return rows.dropDuplicates(["id"])
+    return rows.distinct()
 
 
 def thread(comments_: DataFrame, users: DataFrame, pin_id: str) -> DataFrame:

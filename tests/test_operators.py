@@ -49,6 +49,12 @@ def test_filters_reach_the_scan(spark):
     assert "PushedFilters: [IsNotNull(author_id), EqualTo(author_id,x)]" in plan and "title" not in plan
 
 
+def test_filters_go_below_the_removal_of_repeated_rows(spark):
+    pins = tables.pins(spark, "/root/testdata/sf0.001", "created_at", "author_id", "visibility", "title")
+    plan = paging.list_pins(pins, author="x").fetched.drop("title")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(author_id,x)" in plan and "TakeOrderedAndProject" in plan
+
+
 def test_visibility_and_validation(spark):
     pins = make_pins(spark, 9)
     assert {r.visibility for r in store.normal_visibility(pins).collect()} == {"public", "private"}
