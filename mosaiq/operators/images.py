@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mosaiq.runtime import ship
+
 SIDE, BLOCK = 32, 8
 MOST_TURNS, STILL = 40, 0.5
 SWATCH = "array<struct<r:int,g:int,b:int,hex:string,share:double>>"
@@ -117,6 +119,8 @@ def k_means(pixels, k: int = 5, seed: int = 1) -> dict:
 def perceptual_hashes(images: DataFrame, gray: str = "gray", out: str = "phash") -> DataFrame:
     """images with the hash of a column of 1,024 grey values; null where that can't be hashed."""
 
+    ship(images.sparkSession)
+
     @F.pandas_udf("string")
     def hash_all(batch: pd.Series) -> pd.Series:
         return batch.map(lambda g: None if g is None else hash_of(g))
@@ -131,6 +135,8 @@ def palettes(images: DataFrame, pixels: str = "pixels", *, k: int = 5, seed: int
     """
     kind = f"palette {SWATCH}, iterations int, inertia double"
 
+    ship(images.sparkSession)
+
     @F.pandas_udf(kind)
     def cluster(batch: pd.Series, seeds: pd.Series) -> pd.DataFrame:
         found = [k_means(p, k, int(s)) if p is not None else {"swatches": None, "iterations": None, "inertia": None} for p, s in zip(batch, seeds, strict=True)]
@@ -154,6 +160,8 @@ def analyze(images: DataFrame, *, k: int = 5) -> DataFrame:
             errors.append(f"no palette: {e}")
         return phash, palette, phash is not None or palette is not None, errors[0] if errors else None
 
+    ship(images.sparkSession)
+
     @F.pandas_udf(kind)
     def both(gray: pd.Series, pixels: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([one(g, p) for g, p in zip(gray, pixels, strict=True)], columns=["phash", "palette", "analyzed", "error"])
@@ -199,6 +207,8 @@ def edited_hashes(images: DataFrame) -> DataFrame:
     """(pin_id, edit, in_scope, phash) for every edit of every image (id, gray)."""
     kind = f"pin_id {images.schema['id'].dataType.simpleString()}, edit string, in_scope boolean, phash string"
 
+    ship(images.sparkSession)
+
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         every = edits()
         for b in batches:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mosaiq.functions.hashing import block_hash
-from mosaiq.runtime import table
+from mosaiq.operators.images import dct_basis
+from mosaiq.runtime import ship, table
 
 #: 2025-01-01 00:00:00 UTC in milliseconds, the clock of all queries.
 NOW = 1_735_689_600_000
@@ -36,10 +37,10 @@ def tagged(spark: SparkSession, d: str) -> DataFrame:
 def images(spark: SparkSession, d: str) -> DataFrame:
     """(id, gray, pixels): a smooth 32 x 32 picture from each embedding, the sum of its low frequencies."""
 
+    ship(spark)
+
     @F.pandas_udf("gray array<double>, pixels array<int>")
     def draw(vectors: pd.Series) -> pd.DataFrame:
-        from mosaiq.operators.images import dct_basis
-
         c = dct_basis(32)[:8]
         gray = [np.clip(128 + 400 * (c.T @ np.asarray(v, float).reshape(8, 8) @ c), 0, 255) for v in vectors]
         return pd.DataFrame({"gray": [g.ravel().tolist() for g in gray], "pixels": [np.stack([g, g.T, 255 - g], 2).astype(int).ravel().tolist() for g in gray]})

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mosaiq.runtime import ship
+
 MOST_BYTES = 25 * 1024 * 1024
 GRAY, SAMPLE = 32, 96
 
@@ -66,6 +68,8 @@ def samples_of(data: bytes, width: int, height: int, channels: int) -> list[int]
 def matrices(images: DataFrame) -> DataFrame:
     """images of read_images with gray and pixels instead of data."""
 
+    ship(images.sparkSession)
+
     @F.pandas_udf("gray array<double>, pixels array<int>")
     def reduce(data: pd.Series, width: pd.Series, height: pd.Series, channels: pd.Series) -> pd.DataFrame:
         rows = list(zip(data, width, height, channels, strict=True))
