@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mosaiq.operators.skew import skew_join
-from mosaiq.runtime import Scratch, dense_ids
+from mosaiq.runtime import Scratch, dense_ids, ship
 
 
 def run_lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,6 +48,7 @@ def cooccurring_items(sets: DataFrame, *, least: int = 1, share: str = "0", lift
     shuffled; there they are sorted and merged once more. A frequent pair so costs each reducer at most one row from each
     input partition. Pairs are made row by row, never as an array of all pairs of a set.
     """
+    ship(sets.sparkSession)
     s = Scratch(sets.sparkSession, "cooccur")
     sets = s.save(sets.filter(F.size("items") > 0), "sets")
     total = sets.count()

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mosaiq.runtime import ship
+
 TOKENIZERS = "/opt/tokenizers"
 #: The published split pattern of the byte-level vocabularies (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -260,6 +262,7 @@ def encoded(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     the joints of chunks are repaired until the ids are those of the whole text. Ids are shuffled as two bytes each where
     the vocabulary allows.
     """
+    ship(documents.sparkSession)
     path = f"{folder}/{tokenizer}.tiktoken"
     kind, lists = documents.schema[id_col].dataType.simpleString(), "n_tokens bigint" if count_only else "ids array<int>"
     rows = documents.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))

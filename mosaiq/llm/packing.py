@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mosaiq.runtime import Scratch
+from mosaiq.runtime import Scratch, ship
 
 #: A filling: ((size, copies), ...), sizes falling. A plan: [(filling, containers)].
 Filling = tuple[tuple[int, int], ...]
@@ -216,6 +216,7 @@ def packed(items: DataFrame, capacity: int, id_col: str = "id", size_col: str =
     are then ranked within their size, in blocks, so that a size which most items have is ranked by many tasks, and a
     rank gives the container by binary search.
     """
+    ship(items.sparkSession)
     s = Scratch(items.sparkSession, "packing")
     size = F.col(size_col).cast("bigint")
     rows = items.filter(F.col(id_col).isNotNull() & (size > 0)).select(F.col(id_col).alias("id"), size.alias("whole"))

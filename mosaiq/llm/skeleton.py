@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mosaiq.llm.classes import member_pairs
-from mosaiq.runtime import Scratch
+from mosaiq.runtime import Scratch, ship
 
 # Cyrillic and Greek letters (and letter-like marks of theirs) with the shape of a Latin letter.
 LOOK_ALIKES = {
@@ -99,6 +99,7 @@ def look_alike_pairs(documents: DataFrame, id_col: str = "doc_id", text_col: str
     to classes of equal texts first; only classes with one skeleton are paired, and then expanded to rows, so that a
     million copies of one text cost no comparison with each other.
     """
+    ship(documents.sparkSession)
     s = Scratch(documents.sparkSession, "skeleton")
     kind = documents.schema[id_col].dataType.simpleString()
     rows = documents.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
