@@ -35,7 +35,8 @@ def similar_classes(s: Scratch, classes: DataFrame, threshold: Fraction) -> Data
     item among the first n-o+1 of the one and m-o+1 of the other. So a set is indexed, for each size a partner may have
     (length filter), under just so many of its rarest items, and meets only partners of that size at fitting positions:
     length and positional filter are part of the join key (item, size, size) and cost no comparison. Hits are made
-    distinct and their overlap counted. The partner's sizes above FINE are grouped, with bounds that hold for the group.
+    distinct and their overlap counted. The partner's sizes above FINE are grouped, with bounds that hold for the group; in
+    a set's own group partners may be smaller than it on either side of the join.
     """
     p, q = threshold.numerator, threshold.denominator
     rows = s.save(classes.select("c", F.explode("items").alias("item")), "items")
@@ -48,7 +49,7 @@ def similar_classes(s: Scratch, classes: DataFrame, threshold: Fraction) -> Data
     least = F.greatest(_least_size(k), _ceil(n * p, q))
     probe = probe.select("c", _size_class(n).alias("kn"), k.alias("km"), F.explode(F.slice("r", F.lit(1), F.greatest(F.lit(0), n - _ceil(p * (n + least), p + q) + 1))).alias("rank"))
     index = ranked.withColumn("k", F.explode(F.sequence(_size_class(n), _size_class(F.floor(n * q / p).cast("int")))))
-    least = F.greatest(_least_size(k), n)
+    least = F.greatest(_least_size(k), F.when(k == _size_class(n), _ceil(n * p, q)).otherwise(n))
     index = index.select("c", k.alias("kn"), _size_class(n).alias("km"), F.explode(F.slice("r", F.lit(1), F.greatest(F.lit(0), n - _ceil(p * (n + least), p + q) + 1))).alias("rank"))
 
     hits = skew_join(s.save(probe.withColumnRenamed("c", "x"), "probe"), s.save(index.withColumnRenamed("c", "y"), "index"), ["rank", "kn", "km"])

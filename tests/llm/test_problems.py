@@ -102,6 +102,28 @@ def test_similar_sets_against_brute_force(spark, hot, threshold, most):
     assert got == want and (want or threshold == "1")
 
 
+@pytest.mark.parametrize("threshold", ["0.7", "0.5", "0.9"])
+def test_similar_sets_of_one_size_class(spark, threshold):
+    """Sizes 24 to 60, unshared items the rarest, the larger set under the smaller and under the greater id."""
+    t, sets = float(threshold), {}
+    for n in range(24, 61):
+        for m in (m for m in range(max(24, n - 3), n + 1) if m >= t * n):
+            both = next(o for o in range(m + 1) if o >= t * (n + m - o) - 1e-9)
+            for first, second in (("a", "b"), ("b", "a")):
+                name = f"{n}-{m}-{first}"
+                common = [f"{name}-c{i}" for i in range(both)]
+                sets[f"{name}-{first}"] = common + [f"{name}-x{i}" for i in range(n - both)]
+                sets[f"{name}-{second}"] = common + [f"{name}-y{i}" for i in range(m - both)]
+    where = defaultdict(set)
+    for i, s in sets.items():
+        for x in s:
+            where[x].add(i)
+    near = {p for ids in where.values() for p in combinations(sorted(ids), 2)}
+    want = sorted((a, b) for a, b in near if len(set(sets[a]) & set(sets[b])) >= t * len(set(sets[a]) | set(sets[b])) - 1e-9)
+    got = sorted(tuple(r) for r in similar_set_pairs(spark.createDataFrame(list(sets.items()), "id string, items array<string>"), threshold).collect())
+    assert got == want and len(want) == len(sets) // 2
+
+
 def test_no_sets(spark):
     assert similar_set_pairs(spark.createDataFrame([("a", [])], "id string, items array<string>")).collect() == []
 
