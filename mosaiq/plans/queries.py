@@ -545,12 +545,12 @@ def edited_copies(spark, d):
     return evaluate.group_stats(copies, "edit")
 
 
-def _stream(spark, d, make):
+def _stream(spark, d, make, write=live.append_to):
     s = Scratch(spark, "stream")
     s.save(table(spark, d, "comments").select("id", "pin_id", "body", "author", "author_id", F.col("created_at").cast("timestamp").alias("created_at")), "comments")
     out, at = f"{s.root}/out", f"{s.root}/checkpoint"
     rows = make(live.read_comments(spark, f"{s.root}/comments"))
-    live.append_to(rows, out, at).awaitTermination()
+    write(rows, out, at).awaitTermination()
     return spark.read.schema(rows.schema).parquet(out)
 
 
@@ -563,5 +563,5 @@ def comment_stream(spark, d):
 
 @query
 def comment_stream_daily(spark, d):
-    """Comments by day and pin from a stream; only windows that the watermark has closed come out."""
-    return _stream(spark, d, lambda c: live.windowed_counts(c)).select(epoch_ms("start").alias("start_ms"), "pin_id", "comments")
+    """Comments by day and pin from a stream, run until the stored comments are used up: every day, each comment once."""
+    return _stream(spark, d, live.windowed_counts, live.counts_to).select(epoch_ms("start").alias("start_ms"), "pin_id", "comments")

@@ -32,9 +32,14 @@ def live_thread(comments: DataFrame, pin_id: str, late: str = "30 days") -> Data
     return comments.filter(F.col("pin_id") == pin_id).withWatermark("created_at", late).dropDuplicatesWithinWatermark(["id"])
 
 
-def windowed_counts(comments: DataFrame, window: str = "1 day", late: str = "7 days") -> DataFrame:
-    """(start, pin_id, comments) for each window and pin; distinct ids are not assumed."""
-    timed = comments.withWatermark("created_at", late)
+def windowed_counts(comments: DataFrame, window: str = "1 day") -> DataFrame:
+    """(start, pin_id, comments) for each window and pin, rows that occur twice counted once; distinct ids are not assumed.
+
+    There is no watermark: a comment counts however late it comes, and its window comes out again with the new count. So
+    run it in complete mode (counts_to) or update mode, where the latest count of a window and pin holds. The price is
+    state that grows with the comments, an id, pin and time each.
+    """
+    timed = comments.select("id", "pin_id", "created_at").dropDuplicates()
     return timed.groupBy(F.window("created_at", window).alias("w"), "pin_id").agg(F.count(F.lit(1)).alias("comments")).select(F.col("w.start").alias("start"), "pin_id", "comments")
 
 
@@ -50,6 +55,17 @@ def append_to(stream: DataFrame, path: str, checkpoint: str, *, once: bool = Tru
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def counts_to(stream: DataFrame, path: str, checkpoint: str, *, once: bool = True) -> StreamingQuery:
+    """Keeps a Parquet folder at the latest of all counts, those of windows still open too: each micro-batch writes it anew."""
+
+
+    def handle(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).outputMode("complete")
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
 def analyse_new(images: DataFrame, store: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
     """Analyses new images (id, gray, pixels) micro-batch by micro-batch and hands (id, phash, palette, analyzed_at) to store.
 

@@ -300,6 +300,31 @@ def test_streams(spark, tmp_path):
     assert sum(seen) == 4
 
 
+def test_streamed_counts_leave_no_comment_out(spark, tmp_path):
+    """The last days, comments late by months, and rows that come twice, in one micro-batch and across them."""
+    from mosaiq.streaming import comments as live
+
+    src = str(tmp_path / "in")
+    day = [T0 + timedelta(days=n) for n in (0, 60, 120)]
+    files = [[(1, "p", day[0]), (1, "p", day[0]), (2, "p", day[1])], [(3, "p", day[2]), (2, "p", day[1])], [(4, "p", day[0]), (5, "q", day[1]), (3, "p", day[2])]]
+    for rows in files:
+        spark.createDataFrame([(i, p, "x", "n", "a", t) for i, p, t in rows], live.SCHEMA).coalesce(1).write.mode("append").parquet(src)
+    live.counts_to(live.windowed_counts(live.read_comments(spark, src, 1)), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    got = {(r.start.date(), r.pin_id): r.comments for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {(day[0].date(), "p"): 2, (day[1].date(), "p"): 1, (day[1].date(), "q"): 1, (day[2].date(), "p"): 1}
+
+
+def test_daily_comments_of_a_stream_are_those_of_the_table(spark):
+    from mosaiq.plans.queries import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    c = tables.comments(spark, d, "pin_id", "created_at")
+    want = c.groupBy(F.date_trunc("day", "created_at").alias("t"), "pin_id").agg(F.count(F.lit(1)).alias("comments"))
+    want = want.select((F.unix_micros(F.col("t").cast("timestamp")) / 1000).cast("bigint").alias("start_ms"), "pin_id", "comments")
+    got = QUERIES["comment_stream_daily"](spark, d)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_the_library_stands_without_the_optional_package():
     from pathlib import Path
 
