@@ -66,7 +66,7 @@ def group_stats(values: DataFrame, group: str, value: str = "distance", caught:
     return rows.join(_pick(values, [group], value, lambda n: F.floor(n / 2)).withColumnRenamed(value, "median"), group)
 
 
-#: An evaluation's originals are a fixed set; it is broadcast, and refused above this number.
+#: An evaluation's originals are a fixed set; up to this number it is broadcast, above it is joined in blocks of about as many.
 MOST_ORIGINALS = 10_000
 
 
@@ -74,11 +74,19 @@ def labelled_distances(samples: DataFrame, originals: DataFrame, truth: str = "p
     """The columns of samples with original_id, positive and distance: every sample against every original but itself.
 
     samples: (id, h, truth, ...); originals: (id, h, truth). A pair is positive if both have the same truth. This
-    is quadratic by definition, a stated set of originals against all samples, so their number is checked before they are
-    broadcast.
+    is quadratic by definition, a stated set of originals against all samples, so their number is counted before they are
+    broadcast. More than MOST_ORIGINALS are cut into blocks, and samples into pieces; every block meets every piece in a
+    join by the two numbers, so that a task holds one block.
     """
-    if originals.limit(MOST_ORIGINALS + 1).count() > MOST_ORIGINALS:
-        raise ValueError(f"an evaluation compares every sample with every original: give at most {MOST_ORIGINALS:,} originals")
+    blocks = -(-originals.count() // MOST_ORIGINALS)
     o = originals.select(F.col("id").alias("original_id"), F.col("h").alias("_h"), F.col(truth).alias("_truth"))
-    rows = samples.join(F.broadcast(o), F.col("id") != F.col("original_id"))
+    if blocks <= 1:
+        rows = samples.join(F.broadcast(o), F.col("id") != F.col("original_id"))
+    else:
+        pieces = max(blocks, samples.sparkSession.sparkContext.defaultParallelism)
+        part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        o = o.withColumn("_block", part("original_id", blocks)).withColumn("_piece", every(pieces))
+        rows = samples.withColumn("_piece", part("id", pieces)).withColumn("_block", every(blocks)).join(o, ["_block", "_piece"])
+        rows = rows.filter(F.col("id") != F.col("original_id")).drop("_block", "_piece")
     return rows.withColumn("positive", F.col(truth) == F.col("_truth")).withColumn("distance", hamming(F.col("h"), F.col("_h"))).drop("_h", "_truth")

@@ -300,6 +300,18 @@ def test_streams(spark, tmp_path):
     assert sum(seen) == 4
 
 
+@pytest.mark.parametrize("most", [7, 40, 1000])
+def test_any_number_of_originals(spark, monkeypatch, most):
+    monkeypatch.setattr(evaluate, "MOST_ORIGINALS", most)
+    rng = random.Random(6)
+    rows = [(i, rng.getrandbits(63), f"l{rng.randrange(4)}") for i in range(90)]
+    df = spark.createDataFrame(rows, "id int, h long, label string")
+    got = evaluate.labelled_distances(df, df.filter("id % 2 = 0"), "label")
+    assert got.columns == ["id", "h", "label", "original_id", "positive", "distance"]
+    want = sorted((*x, y[0], x[2] == y[2], (x[1] ^ y[1]).bit_count()) for x in rows for y in rows if y[0] % 2 == 0 and x[0] != y[0])
+    assert sorted(map(tuple, got.collect())) == want
+
+
 def test_streamed_counts_leave_no_comment_out(spark, tmp_path):
     """The last days, comments late by months, and rows that come twice, in one micro-batch and across them."""
     from mosaiq.streaming import comments as live
