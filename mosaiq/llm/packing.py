@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
+from time import perf_counter
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,10 @@ from mosaiq.runtime import Scratch, ship
 #: A filling: ((size, copies), ...), sizes falling. A plan: [(filling, containers)].
 Filling = tuple[tuple[int, int], ...]
 
-#: Search effort; the result is valid with any. Steps of a node's enumeration, completions tried at a node, nodes in all.
+#: Search effort of the first round; the result is valid with any. Steps of a node's enumeration, completions tried at a node, nodes in all.
 STEPS, BRANCHES, NODES = 600, 3, 4_000
+#: Each further round has WIDER times the effort; none goes on after SECONDS of search.
+WIDER, SECONDS = 4, 5.0
 #: Ranks within one size are counted in blocks of about this many rows.
 BLOCK = 1_000_000
 
@@ -67,24 +70,25 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Filling, int]]
     return sorted((f, n) for c in room.values() for f, n in c.items())
 
 
-def completions(left: list[int], room: int) -> list[tuple[int, Filling]]:
-    """(waste, filling) of undominated ways to fill `room` from the items left, least waste first.
+def completions(left: list[int], room: int, most_steps: int = STEPS, branches: int = BRANCHES) -> tuple[list[tuple[int, Filling]], bool]:
+    """(waste, filling) of undominated ways to fill `room` from the items left, least waste first; and whether these are all.
 
     left[s] is the number of items of size s. A filling is dominated if some item outside of it can replace a part of it
     that is not larger and leave the container no fuller than it is: the replaced items fit wherever that item would. An
-    item of exactly the room dominates all others. The walk takes larger items first and ends after STEPS steps.
+    item of exactly the room dominates all others. The walk takes larger items first and ends after most_steps steps or
+    with as many perfect fillings as branches; then, or if it finds more than branches, these aren't all.
     """
     if room <= 0 or not any(left[1 : room + 1]):
-        return [(room, ())]
+        return [(room, ())], True
     if left[room]:
-        return [(0, ((room, 1),))]
+        return [(0, ((room, 1),))], True
     below = [0] * (room + 1)  # the largest size left up to here
     for x in range(1, room + 1):
         below[x] = x if left[x] else below[x - 1]
     found: list[tuple[int, Filling]] = []
     steps = perfect = 0
     stack = [(room, below[room], ())]
-    while stack and steps < STEPS:
+    while stack and steps < most_steps:
         steps += 1
         r, top, chosen = stack.pop()
         size = below[min(r, top)]
@@ -95,7 +99,7 @@ def completions(left: list[int], room: int) -> list[tuple[int, Filling]]:
             if not any(other >= least and left[other] > taken.get(other, 0) for other, least in better):
                 perfect += not r
                 found.append((r, chosen))
-                if perfect >= BRANCHES:
+                if perfect >= branches:
                     break
             continue
         most = min(left[size], r // size)
@@ -104,7 +108,7 @@ def completions(left: list[int], room: int) -> list[tuple[int, Filling]]:
         for n in range(1, most + 1):
             stack.append((r - n * size, size - 1, (*chosen, (size, n))))
     found.sort(key=lambda x: (x[0], tuple(-s for s, n in x[1] for _ in range(n))))
-    return found[:BRANCHES] or [_greedy(left, room)]
+    return found[:branches] or [_greedy(left, room)], not stack and 0 < len(found) <= branches
 
 
 def _greedy(left: list[int], room: int) -> tuple[int, Filling]:
@@ -117,20 +121,48 @@ def _greedy(left: list[int], room: int) -> tuple[int, Filling]:
     return room, tuple(chosen)
 
 
-def bin_completion(counts: dict[int, int], capacity: int, nodes: int = NODES) -> tuple[list[tuple[Filling, int]], int]:
-    """(plan, lower bound): branch and bound that completes the container of the largest item left.
+def bin_completion(counts: dict[int, int], capacity: int, nodes: int = NODES, seconds: float | None = None) -> tuple[list[tuple[Filling, int]], int]:
+    """(plan, lower bound): branch and bound that completes the container of the largest item left, in widening rounds.
 
-    A node takes the largest size left and its undominated completions; a completion is used for as many containers as
-    the items left allow, so that a step costs the same for ten items and for ten billion. The best solution so far
-    starts with best-fit decreasing. A node is pruned if its containers and the bound on the rest can't be fewer than
-    those of the best, which is the bound on waste. Ends at the lower bound or after `nodes` nodes.
+    The best solution so far starts with best-fit decreasing. The first round has the effort STEPS, BRANCHES and `nodes`
+    and uses each filling as often as the items left allow, so that a step costs the same for ten items and for ten
+    billion. While the lower bound isn't reached, another round follows with WIDER times the effort, which also tries
+    fillings fewer times. A round that left nothing out proves the best so far; its number is then the bound that is
+    returned. Otherwise the search ends after `seconds` (SECONDS if None) and proves nothing: the plan is the fewest
+    possible if, and is known to be only if, its containers are as many as the bound. What a round finds in that
+    time depends on the machine; the first round is always finished.
     """
     bound, best = lower_bound(counts, capacity), best_fit(counts, capacity)
-    fewest = sum(n for _, n in best)
+    until, effort = perf_counter() + (SECONDS if seconds is None else seconds), 1
+    while sum(n for _, n in best) > bound:
+        best, whole = _round(counts, capacity, bound, best, effort, nodes * effort, until)
+        if whole:
+            return best, sum(n for _, n in best)
+        if perf_counter() >= until:
+            break
+        effort *= WIDER
+    return best, bound
+
+
+def _repeats(most: int, number: int) -> list[int]:
+    """How often a filling is tried, most first: all of 1..most if these are not more than `number`, else a spread of them."""
+    if most <= number:
+        return list(range(most, 0, -1))
+    return sorted({most, *(most - most * i // number for i in range(number)), *(max(1, most - i) for i in range(number))}, reverse=True)
+
+
+def _round(counts: dict[int, int], capacity: int, bound: int, best: list[tuple[Filling, int]], effort: int, nodes: int, until: float) -> tuple[list[tuple[Filling, int]], bool]:
+    """(the best plan, whether nothing was left out) of one depth-first search.
+
+    A node takes the largest size left and its undominated completions, each for some numbers of containers. A node is
+    pruned if its containers and the bound on the rest can't be fewer than those of the best, which is the bound on waste.
+    Ends at the lower bound, after `nodes` nodes or, beyond the first round, at the time `until`.
+    """
+    fewest, whole = sum(n for _, n in best), True
     left = [0] * (capacity + 1)
     for size, n in counts.items():
         left[size] = n
-    levels: list[list] = []  # of each level: alternatives not yet tried, the size, and what was applied
+    levels: list[list] = []  # of each level: the size, fillings not yet tried, and the one tried with its numbers left
     path: list[tuple[Filling, int]] = []
     used, weight = 0, sum(s * n for s, n in counts.items())
 
@@ -156,29 +188,38 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = NODES) ->
             if used + -(-weight // capacity) >= fewest:
                 down = False
                 continue
+            if effort > 1 and perf_counter() >= until:
+                return best, False
             nodes -= 1
             left[size] -= 1
-            ways = completions(left, capacity - size)
+            ways, all_ = completions(left, capacity - size, STEPS * effort, BRANCHES * effort)
             left[size] += 1
-            levels.append([size, [w for _, w in ways]])
+            whole &= all_
+            levels.append([size, [w for _, w in ways], (), []])
         elif not levels:
-            break
+            return best, whole
         else:
             apply(path[-1][0], -path[-1][1])
             path.pop()
-        size, ways = levels[-1]
-        if not ways:
+        level = levels[-1]
+        size, ways, filling, numbers = level
+        if not numbers and not ways:
             levels.pop()
             down = False
             continue
-        way = dict(ways.pop(0))
-        way[size] = way.get(size, 0) + 1
-        filling = tuple(sorted(way.items(), reverse=True))
-        times = min(left[s] // n for s, n in filling)
+        if not numbers:
+            way = dict(ways.pop(0))
+            way[size] = way.get(size, 0) + 1
+            filling = tuple(sorted(way.items(), reverse=True))
+            most = min(left[s] // n for s, n in filling)
+            numbers = _repeats(most, effort) if effort > 1 else [most]
+            whole &= len(numbers) == most
+            level[2:] = filling, numbers
+        times = numbers.pop(0)
         apply(filling, times)
         path.append((filling, times))
         down = True
-    return best, bound
+    return best, False
 
 
 def placer(plan: list[tuple[Filling, int]]):

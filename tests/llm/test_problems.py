@@ -349,6 +349,34 @@ def test_better_than_best_fit():
     assert (sum(n for _, n in best_fit(counts, 100)), sum(n for _, n in plan)) == (3, 2)
 
 
+def test_search_goes_on_where_the_first_round_was_cut(monkeypatch):
+    counts = {44: 1, 42: 1, 38: 1, 30: 1, 28: 1, 18: 1}
+    plan, bound = bin_completion(counts, 100, 1)
+    assert sum(n for _, n in plan) == bound == 2
+    monkeypatch.setattr(packing, "STEPS", 1)
+    monkeypatch.setattr(packing, "BRANCHES", 1)
+    for seed in range(60):
+        rng = random.Random(500 + seed)
+        items = sorted((rng.randint(11, 55) for _ in range(10)), reverse=True)
+        plan, bound = bin_completion(dict(Counter(items)), 100, 1, 20)
+        check_plan(plan, dict(Counter(items)), 100)
+        assert sum(n for _, n in plan) == bound == optimum(items, 100)
+
+
+def test_a_round_that_left_nothing_out_is_a_proof():
+    assert lower_bound({34: 5}, 100) == 2
+    plan, bound = bin_completion({34: 5}, 100)
+    assert sum(n for _, n in plan) == bound == 3
+
+
+def test_the_search_ends_in_time():
+    rng = random.Random(0)
+    counts = {s: rng.randrange(10_000, 90_000) for s in rng.sample(range(20, 1000), 300)}
+    plan, bound = bin_completion(counts, 1000, 10, 0)
+    check_plan(plan, counts, 1000)
+    assert bound == lower_bound(counts, 1000)
+
+
 def test_every_item_has_its_place(spark, monkeypatch):
     monkeypatch.setattr(packing, "BLOCK", 7)
     rng = random.Random(4)
