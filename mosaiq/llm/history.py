@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mosaiq.operators.skew import skew_join
@@ -13,6 +13,9 @@ from mosaiq.runtime import Scratch
 #: The fixed pivot: the fraction of the golden ratio in 64 bits, as a signed number.
 PIVOT = 0x9E3779B97F4A7C15 - (1 << 64)
 
+#: Ranges of cells a band, the highest bits of a cell, that tell which files of a table a batch needs.
+RANGE_BITS = 6
+
 #: Hashes that one task expands to the cells within the radius.
 PER_TASK = 10_000
 
@@ -46,16 +49,31 @@ def _around(band: int, cell: Column, flips: list[int]) -> Column:
     return F.transform(F.array(*[F.lit(x).cast("long") for x in flips]), lambda x: F.struct(F.lit(band).alias("band"), cell.bitwiseXOR(x).alias("cell")))
 
 
+def _write(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _complete(spark: SparkSession, path: str) -> list[str]:
+    """Names of the batches at a path whose keys, written last, are complete, in order."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = sorted(x.getPath().getName() for x in fs.listStatus(root)) if fs.exists(root) else []
+    done = lambda name: fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/keys/_SUCCESS"))
+    return [name for name in names if name.startswith("batch-") and done(name)]
+
+
 class PivotTable:
-    """Distances from all accepted hashes to a fixed pivot, kept in the shared folder and only ever appended to.
+    """Distances from all accepted hashes to a fixed pivot, kept in Parquet and only ever appended to.
 
     Distances between whole hashes and a pivot lie close about 32 for all hashes, so that the triangle inequality prunes
     next to nothing (see README). The distance to the pivot is therefore stored band by band, and within a band
     coordinate by coordinate; each is itself the Hamming distance of a part of the bits. If two hashes differ in at most
     `limit` bits, then in at least one band they differ by at most that band's radius, and there, by the triangle
     inequality on each coordinate, the sum of the differences of their pivot distances is within that radius too. A batch
-    asks for all cells within the radius; the join is on (band, cell), the table's range partitioning, and what it finds
-    is checked by the true distance.
+    asks for all cells within the radius; files and row groups without a range of cells asked for are passed over by their
+    statistics, as the table is written in order of (band, cell); the join is on (band, cell), and what it finds is checked
+    by the true distance.
     """
 
     def __init__(self, s: Scratch, limit: int = 10, count: int = 5):
@@ -71,33 +89,66 @@ class PivotTable:
             each.append(_around(band, cell, flips))
         return hashes.select("hash", F.explode(F.concat(*each)).alias("at")).select(F.col("hash").alias(name), "at.band", "at.cell")
 
-    def append(self, hashes: DataFrame) -> None:
-        """Adds distinct non-null hashes (column hash)."""
+    def append(self, hashes: DataFrame, path: str | None = None) -> None:
+        """Adds distinct non-null hashes (column hash), written to the path or else to the scratch folder."""
         cells = self._cells(hashes, "hash", False).repartitionByRange("band", "cell").sortWithinPartitions("band", "cell")
-        new = self.s.save(cells, f"pivots-{self.parts}")
+        new = _write(cells, path) if path else self.s.save(cells, f"pivots-{self.parts}")
         self.parts += 1
         self.rows = new if self.rows is None else self.rows.unionByName(new)
 
+    def within(self, probes: DataFrame) -> DataFrame:
+        """The table's rows in the ranges of cells that probes ask for; which these are is at most 64 numbers a band."""
+        shift = {band: max(0, width - RANGE_BITS) for band, (_, width, _) in enumerate(self.bands)}
+        part = F.expr(f"shiftright(cell, element_at(array({', '.join(map(str, shift.values()))}), band + 1))")
+        asked = sorted((r["band"], r["part"]) for r in probes.select("band", part.alias("part")).distinct().collect())
+        if not asked or len(asked) == sum(1 << min(RANGE_BITS, width) for _, width, _ in self.bands):
+            return self.rows
+        spans: list[list[int]] = []
+        for band, at in asked:
+            if spans and spans[-1][0] == band and spans[-1][2] == at - 1:
+                spans[-1][2] = at
+            else:
+                spans.append([band, at, at])
+        return self.rows.filter(" or ".join(f"(band = {b} and cell >= {lo << shift[b]} and cell < {(hi + 1) << shift[b]})" for b, lo, hi in spans))
+
     def near(self, hashes: DataFrame, tag: str) -> DataFrame:
         """(probe, hash): the table's hashes within the limit of each probe, a row for each band that finds them."""
         spread = hashes.repartition(-(-hashes.count() // PER_TASK) or 1, "hash")  # each row gives 148
         probes = self.s.save(self._cells(spread, "probe", True), f"probes-{tag}")
-        found = skew_join(probes, self.rows, ["band", "cell"])
+        found = skew_join(probes, self.within(probes), ["band", "cell"])
         return found.filter(hamming("probe", "hash") <= self.limit).select("probe", "hash")
 
 
 class History:
-    """What has been accepted so far: a pivot table of hashes and the pairs (author_id, created_at)."""
+    """What has been accepted so far: a pivot table of hashes and the pairs (author_id, created_at).
+
+    With a path, the history of an earlier application is opened there and appended to; else it lasts as long as the
+    scratch folder. A batch counts once both its tables are written. One application writes at a time.
+    """
 
-    def __init__(self, s: Scratch, limit: int = 10):
-        self.s, self.limit = s, limit
+    def __init__(self, s: Scratch, limit: int = 10, path: str | None = None):
+        self.s, self.limit, self.path = s, limit, path and path.rstrip("/")
         self.pivots, self.keys, self.batches = PivotTable(s, limit), None, 0
+        if not path:
+            return
+        names = _complete(s.spark, self.path)
+        if any(not name.endswith(self._suffix()) for name in names):
+            raise ValueError(f"the history at {path} is of another limit: {names[0]}")
+        self.batches = self.pivots.parts = len(names)
+        read = lambda kind, schema: s.spark.read.parquet(*[f"{self.path}/{n}/{kind}" for n in names]) if names else s.spark.createDataFrame([], schema)
+        self.pivots.rows = read("pivots", "hash long, band int, cell long")
+        self.keys = read("keys", "author_id string, created_at timestamp")
+
+    def _suffix(self) -> str:
+        return f"-limit-{self.limit}-bands-{len(self.pivots.bands)}"
 
     def append(self, rows: DataFrame) -> None:
         """rows: hash, author_id, created_at; nulls in any of them are no entry."""
         n, self.batches = self.batches, self.batches + 1
-        self.pivots.append(rows.filter("hash is not null").select("hash").distinct())
-        new = self.s.save(rows.filter("author_id is not null and created_at is not null").select("author_id", "created_at").distinct(), f"keys-{n}")
+        at = self.path and f"{self.path}/batch-{n:09}{self._suffix()}"
+        self.pivots.append(rows.filter("hash is not null").select("hash").distinct(), at and f"{at}/pivots")
+        keys = rows.filter("author_id is not null and created_at is not null").select("author_id", "created_at").distinct()
+        new = _write(keys, f"{at}/keys") if at else self.s.save(keys, f"keys-{n}")
         self.keys = new if self.keys is None else self.keys.unionByName(new)
 
     def check(self, batch: DataFrame) -> DataFrame:
@@ -117,7 +168,8 @@ class History:
         hashes = s.save(rows.filter("hash is not null").select("hash").distinct(), f"{tag}-hashes")
         old = s.save(self.pivots.near(hashes, f"{tag}-old").select(F.col("probe").alias("hash"), F.lit(True).alias("near")).distinct(), f"{tag}-near")
         s.drop(f"probes-{tag}-old")
-        keys = self.keys.distinct().withColumn("known", F.lit(True))
+        asked = rows.filter("author_id is not null and created_at is not null").select("author_id", "created_at").distinct()
+        keys = self.keys.join(asked, ["author_id", "created_at"], "left_semi").distinct().withColumn("known", F.lit(True))  # the batch's at most
         state = skew_join(rows, old, ["hash"], "left", unique=True)
         state = s.save(state, f"{tag}-hashed")
         state = skew_join(state, s.save(keys, f"{tag}-keys"), ["author_id", "created_at"], "left", unique=True)

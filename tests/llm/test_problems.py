@@ -218,6 +218,47 @@ def test_batches_give_what_one_batch_gives(spark):
     assert sorted(cases) == brute_repeats(old, new)
 
 
+def test_a_history_is_opened_again(spark, tmp_path):
+    """Batches checked by a History each, opened at one path: same cases, and earlier files stay as they are."""
+    from pyspark.sql import functions as F
+
+    from mosaiq.llm.history import valid_hash
+    from mosaiq.runtime import Scratch
+
+    rng = random.Random(12)
+    old, new = history_rows(rng, 20, "a"), history_rows(rng, 40, "b")
+    pick = lambda rows: spark.createDataFrame(rows, SCHEMA).select("arrival_id", valid_hash("phash").alias("hash"), "author_id", "created_at")
+    path, cases, before = str(tmp_path / "history"), [], {}
+    assert not History(Scratch(spark, "h"), path=path).check(pick(old[:1])).filter("repeats").collect()
+    History(Scratch(spark, "h"), path=path).append(pick(old))
+    for i in range(0, 40, 20):
+        past = History(Scratch(spark, "h"), path=path)
+        checked = past.check(pick(new[i : i + 20]))
+        cases += [r.arrival_id for r in checked.filter("repeats").collect()]
+        past.append(checked.filter(~F.col("repeats")))
+        now = {p: p.stat().st_mtime_ns for p in (tmp_path / "history").rglob("*.parquet")}
+        assert before.items() < now.items()
+        before = now
+    assert sorted(cases) == brute_repeats(old, new)
+    with pytest.raises(ValueError, match="limit"):
+        History(Scratch(spark, "h"), 9, path)
+
+
+def test_a_small_batch_reads_a_part_of_the_table(spark):
+    from mosaiq.llm.history import PivotTable
+    from mosaiq.runtime import Scratch
+
+    rng = random.Random(13)
+    hashes = [rng.getrandbits(64) - (1 << 63) for _ in range(500)]
+    probe = hashes[0] ^ 0b1011
+    table = PivotTable(Scratch(spark, "t"))
+    table.append(spark.createDataFrame([(h,) for h in hashes], "hash long"))
+    one = spark.createDataFrame([(probe,)], "hash long")
+    assert 0 < table.within(table._cells(one, "probe", True)).count() < 0.5 * table.rows.count()
+    got = {r.hash for r in table.near(one, "x").collect()}
+    assert got == {h for h in hashes if ((h ^ probe) & (2**64 - 1)).bit_count() <= 10} and hashes[0] in got
+
+
 def test_empty_history_and_nulls(spark):
     none = spark.createDataFrame([], SCHEMA)
     nulls = spark.createDataFrame([(1, None, None, None), (2, None, None, None), (3, "0" * 16, "a", None), (4, "0" * 16, "b", None)], SCHEMA)
