@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mosaiq.functions.hashing import hamming
+from mosaiq.operators.colors import palette_drift
 
 
 def distance_counts(distances: DataFrame) -> DataFrame:
@@ -66,6 +67,17 @@ def group_stats(values: DataFrame, group: str, value: str = "distance", caught:
     return rows.join(_pick(values, [group], value, lambda n: F.floor(n / 2)).withColumnRenamed(value, "median"), group)
 
 
+def kmeans_stats(runs: DataFrame, others: DataFrame) -> DataFrame:
+    """(mean_iterations, mean_drift, max_drift), one row: how long k-means runs, and how far its palettes depend on the seed.
+
+    Both have id and palette, each id once, by different seeds; runs also iterations. The drift of an image is the largest
+    difference from a swatch of its run to the nearest of the other. Images without a palette don't count.
+    """
+    swatches = lambda df: df.select("id", F.posexplode("palette").alias("pos", "s")).select("id", "pos", "s.r", "s.g", "s.b")
+    drift = palette_drift(swatches(runs), swatches(others)).agg(F.avg("drift").alias("mean_drift"), F.max("drift").alias("max_drift"))
+    return runs.filter("palette is not null").agg(F.avg("iterations").alias("mean_iterations")).crossJoin(drift)
+
+
 #: An evaluation's originals are a fixed set; up to this number it is broadcast, above it is joined in blocks of about as many.
 MOST_ORIGINALS = 10_000
 

@@ -531,6 +531,13 @@ def kmeans_palette(spark, d):
     return images.palettes(X.images(spark, d)).select("id", F.posexplode("palette").alias("pos", "s"), "iterations", F.round("inertia", 6).alias("inertia")).select("id", "pos", "s.*", "iterations", "inertia")
 
 
+@query
+def kmeans_stats(spark, d):
+    """Palettes by the seeds 1 and 999."""
+    pics = X.images(spark, d)
+    return _round(evaluate.kmeans_stats(images.palettes(pics, seed=1), images.palettes(pics, seed=999)), "mean_iterations", "mean_drift", "max_drift")
+
+
 @query
 def analyse_images(spark, d):
     return images.analyze(X.images(spark, d)).select("id", "phash", F.size("palette").alias("swatches"), "analyzed", "error")

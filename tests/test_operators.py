@@ -312,6 +312,22 @@ def test_any_number_of_originals(spark, monkeypatch, most):
     assert sorted(map(tuple, got.collect())) == want
 
 
+def test_kmeans_stats(spark):
+    from math import dist
+
+    from mosaiq.functions.color import lab_of
+
+    rng = random.Random(8)
+    pics = [(i, [rng.randrange(256) for _ in range(3 * 60)]) for i in range(5)]
+    df = spark.createDataFrame([*pics, (9, None)], "id int, pixels array<int>")
+    a, b = ([images.k_means(p, 5, seed) for _, p in pics] for seed in (1, 999))
+    lab = lambda found: [lab_of(s["r"], s["g"], s["b"]) for s in found["swatches"]]
+    drifts = [max(min(dist(s, o) for o in lab(y)) for s in lab(x)) for x, y in zip(a, b, strict=True)]
+    r = evaluate.kmeans_stats(images.palettes(df, seed=1), images.palettes(df, seed=999)).collect()
+    want = (sum(x["iterations"] for x in a) / 5, sum(drifts) / 5, max(drifts))
+    assert len(r) == 1 and tuple(r[0]) == pytest.approx(want) and max(drifts) > 0
+
+
 def test_streamed_counts_leave_no_comment_out(spark, tmp_path):
     """The last days, comments late by months, and rows that come twice, in one micro-batch and across them."""
     from mosaiq.streaming import comments as live
