@@ -303,6 +303,12 @@ def tag_overlap_related(spark, d):
     return _round(recommend.tag_overlap(X.tagged(spark, d), 1), "score").orderBy(F.desc("score"), "id").limit(100)
 
 
+@query
+def tag_overlap_all(spark, d):
+    """All rows of which tag_overlap_related gives the first 100."""
+    return _round(recommend.tag_overlap(X.tagged(spark, d), 1), "score")
+
+
 # terms
 
 
