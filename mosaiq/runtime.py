@@ -53,9 +53,18 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir, else the context's checkpoint folder.
+
+    Where neither is set, a temporary folder of this machine serves local sessions, as in tests. On a cluster executors
+    would write to disks of their own there, so that it is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        at = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = at.get() if at.isDefined() else None
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="mosaiq-")
         atexit.register(_remove, spark, found)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -75,7 +84,9 @@ class Scratch:
     """Tables written to the shared folder and read again.
 
     This cuts lineage in iterative operators, survives the loss of executors, and gives Catalyst the true size of an
-    intermediate, so that it broadcasts only what is below its own threshold.
+    intermediate, so that it broadcasts only what is below its own threshold. Tables that no step drops stay until
+    close(), the end of a `with` block, or the end of the driver: results that read them must be used before that. An
+    operator takes a Scratch of the caller's as `scratch`, so that the caller decides when.
     """
 
     def __init__(self, spark: SparkSession, label: str):
@@ -83,6 +94,21 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         atexit.register(_remove, spark, self.root)
 
+    def part(self, label: str) -> Scratch:
+        """A scratch below this one, for an operator that uses another; it goes with this one."""
+        other = object.__new__(Scratch)
+        other.spark, other.root = self.spark, f"{self.root}/{label}-{uuid.uuid4().hex}"
+        return other
+
+    def close(self) -> None:
+        _remove(self.spark, self.root)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.option("compression", "zstd").parquet(path)
