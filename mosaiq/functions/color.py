@@ -104,10 +104,16 @@ def to_hsv(c: Rgb) -> Hsv:
 
 
 def family(c: Rgb) -> Column:
-    """The hue family; a table by whole degrees, as all its borders are whole, so that the hue is computed once."""
+    """The hue family. The hue is computed once, as the element of an array, not for each comparison."""
     hsv = to_hsv(c)
-    by_degree = F.array(*[F.lit(next((name for name, end in HUES if degree < end), "red")) for degree in range(361)])
-    return F.when((hsv.s < 0.15) | (hsv.v < 0.12), "neutral").otherwise(F.element_at(by_degree, F.floor(hsv.h).cast("int") + 1))
+
+    def named(hue: Column) -> Column:
+        out = F.lit("red")
+        for name, end in reversed(HUES):
+            out = F.when(hue < end, name).otherwise(out)
+        return out
+
+    return F.when((hsv.s < 0.15) | (hsv.v < 0.12), "neutral").otherwise(F.element_at(F.transform(F.array(hsv.h), named), 1))
 
 
 def family_of(r: int, g: int, b: int) -> str:

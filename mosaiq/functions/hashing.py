@@ -24,9 +24,9 @@ def hash_text(bits: Column | str) -> Column:
 
 
 def bit_array(bits: Column | str) -> Column:
-    """The 64 bits as booleans, the highest first."""
+    """The 64 bits as booleans, the highest first; null of a null."""
     bits = F.col(bits) if isinstance(bits, str) else bits
-    return F.array(*[F.shiftright(bits, 63 - i).bitwiseAND(1) == 1 for i in range(64)])
+    return F.when(bits.isNotNull(), F.array(*[F.shiftright(bits, 63 - i).bitwiseAND(1) == 1 for i in range(64)]))
 
 
 def hamming(a: Column, b: Column) -> Column:

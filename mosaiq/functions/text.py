@@ -15,15 +15,28 @@ STOP_WORDS = (
 ).split()
 
 
+# Words longer than so many letters with an ending, but not with another, lose letters and get an ending.
+STEMS = ((4, "ies", None, 3, "y"), (4, "es", None, 2, ""), (3, "s", "ss", 1, ""))
+
+
 def stem(word: Column) -> Column:
     """cities -> city, beaches -> beach, dunes -> dun, trees -> tre, glass stays; the first rule that fits."""
-    n = F.length(word)
-    return (
-        F.when((n > 4) & F.endswith(word, F.lit("ies")), F.concat(F.substring(word, F.lit(1), n - 3), F.lit("y")))
-        .when((n > 4) & F.endswith(word, F.lit("es")), F.substring(word, F.lit(1), n - 2))
-        .when((n > 3) & F.endswith(word, F.lit("s")) & ~F.endswith(word, F.lit("ss")), F.substring(word, F.lit(1), n - 1))
-        .otherwise(word)
-    )
+    out, n = word, F.length(word)
+    for longer, ending, other, lost, new in reversed(STEMS):
+        fits = (n > longer) & F.endswith(word, F.lit(ending))
+        if other:
+            fits = fits & ~F.endswith(word, F.lit(other))
+        short = F.substring(word, F.lit(1), n - lost)
+        out = F.when(fits, F.concat(short, F.lit(new)) if new else short).otherwise(out)
+    return out
+
+
+def stem_of(word: str) -> str:
+    """stem of one word, for literals."""
+    for longer, ending, other, lost, new in STEMS:
+        if len(word) > longer and word.endswith(ending) and not (other and word.endswith(other)):
+            return word[:-lost] + new
+    return word
 
 
 def tokens(text: Column | str) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +13,10 @@ from mosaiq.operators.filters import visible_to
 from mosaiq.operators.skew import skew_join
 from mosaiq.runtime import Scratch
 
-#: Hashes that one task expands to all values within a radius.
-PER_TASK = 10_000
+#: Rows to which one task expands hashes, to all values within a radius of their bands.
+PER_TASK = 1_500_000
+#: The largest number of values around one band that is written out as a literal.
+MOST_PROBES = 2_000
 
 
 def near_duplicates_of(pins: DataFrame, phash: str, *, threshold: int = 10, exclude=None, limit: int | None = None) -> DataFrame:
@@ -35,14 +38,21 @@ def duplicate_guard(pins: DataFrame, phash: str, viewer: str | None = None, thre
     return near_duplicates_of(pins.filter(visible_to(viewer)), phash, threshold=threshold, limit=1)
 
 
-def _band_plan(threshold: int) -> list[tuple[int, int, int]]:
-    """(shift, width, radius) with the sum of radius + 1 over the bands equal to threshold + 1: one band is within its radius."""
-    count = max(1, min(threshold + 1, (threshold + 2) // 2))
-    if threshold > 10:
-        count = max(4, threshold // 3)
-    more, spare = divmod(threshold + 1 - count, count)
-    widths = [64 // count + (i < 64 % count) for i in range(count)]
-    return [(sum(widths[:i]), w, more + (i < spare)) for i, w in enumerate(widths)]
+def _band_plan(threshold: int, hashes: int = 1 << 16) -> list[tuple[int, int, int]]:
+    """(shift, width, radius) with the sum of radius + 1 over the bands equal to threshold + 1: one band is within its radius.
+
+    Few wide bands compare few pairs but need many probes a hash, many narrow ones the other way round. Of 1 to threshold + 1
+    bands, the plan is that of the least rows in all for so many random hashes: probes and pairs to be compared.
+    """
+    plans = []
+    for count in range(1, min(threshold + 1, 32) + 1):
+        more, spare = divmod(threshold + 1 - count, count)
+        widths = [64 // count + (i < 64 % count) for i in range(count)]
+        plan = [(sum(widths[:i]), w, min(w, more + (i >= count - spare))) for i, w in enumerate(widths)]  # the larger radii to the narrower bands
+        probes = [sum(comb(w, k) for k in range(r + 1)) for _, w, r in plan]
+        if max(probes) <= MOST_PROBES:
+            plans.append((sum(probes) + hashes * sum(n / 2.0**w for n, (_, w, _) in zip(probes, plan, strict=True)), plan))
+    return min(plans, key=lambda x: x[0])[1]
 
 
 def _band(h: Column | str, shift: int, width: int) -> Column:
@@ -60,11 +70,12 @@ def near_hashes(hashes: DataFrame, threshold: int) -> DataFrame:
 
     The hash is cut into bands; two near hashes are within a band's radius in at least one of them (pigeonhole), so one
     side is put under its own band value and the other under every value within the radius. Pairs are emitted by the
-    first band that finds them, which needs no distinct.
+    first band that finds them, which needs no distinct. The bands are sized to the number of hashes.
     """
     s = Scratch(hashes.sparkSession, "near")
-    plan = _band_plan(threshold)
     distinct = s.save(hashes.filter("h is not null").select("h").distinct(), "distinct")
+    number = distinct.count()
+    plan = _band_plan(threshold, number)
     own, near = [], []
     for i, (shift, width, radius) in enumerate(plan):
         value = _band("h", shift, width)
@@ -72,7 +83,7 @@ def near_hashes(hashes: DataFrame, threshold: int) -> DataFrame:
         flips = [sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(width), r)]
         near.append(_around(i, value, flips))
     stored = s.save(distinct.select(F.col("h").alias("b"), F.explode(F.array(*own)).alias("at")).select("b", "at.*"), "stored")
-    spread = distinct.repartition(-(-distinct.count() // PER_TASK) or 1, "h")  # each row gives hundreds
+    spread = distinct.repartition(-(-number * sum(comb(w, k) for _, w, r in plan for k in range(r + 1)) // PER_TASK) or 1, "h")
     probes = s.save(spread.select(F.col("h").alias("a"), F.explode(F.concat(*near)).alias("at")).select("a", "at.*"), "probes")
     found = skew_join(probes, stored, ["band", "v"]).filter("a < b").withColumn("distance", hamming(F.col("a"), F.col("b"))).filter(F.col("distance") <= threshold)
     x = F.col("a").bitwiseXOR(F.col("b"))
@@ -107,21 +118,21 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternating large and small stars: in turn every node ties its larger neighbours, and itself and its smaller ones, to the smallest node
     around it, until nothing changes. Each turn is written to the shared folder; the number of edges never grows. A node
-    with a large part of the edges makes a skewed join, which AQE splits, as its other side has one row a node.
+    with a large part of the edges is cut into blocks, as it is the key of joins.
     """
     s = Scratch(links.sparkSession, "components")
     edges = s.save(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "e0")
     turn, before = 0, None
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        both = s.save(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), f"b{turn}")
+        least = s.save(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), f"m{turn}")
+        large = skew_join(both, least, ["u"], unique=True).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = s.save(large, f"g{turn}")
-        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        small = skew_join(large, large.groupBy("u").agg(F.min("v").alias("m")), ["u"], unique=True)
         small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
         edges = s.save(small, f"e{turn + 1}")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        s.drop(f"e{turn}", f"g{turn}")
+        s.drop(*[f"{x}{turn}" for x in "ebmg"])
         if now == before:
             break
         before, turn = now, turn + 1
@@ -132,7 +143,8 @@ def duplicate_groups(items: DataFrame, threshold: int = 10, *, width: bool = Tru
     """(group_id, id, size, max_distance): single-linkage groups of items (id, h), named by their smallest id.
 
     A group's largest distance is taken over the distances of all its distinct hashes, also those not linked directly;
-    width=False leaves it out, as it alone takes time quadratic in a group's number of distinct hashes.
+    width=False leaves it out, as it alone takes time quadratic in a group's number of distinct hashes; large groups are
+    cut into blocks, which meet in many tasks.
     """
     s = Scratch(items.sparkSession, "groups")
     items = s.save(items.select("id", "h").filter("h is not null"), "items")
@@ -141,8 +153,8 @@ def duplicate_groups(items: DataFrame, threshold: int = 10, *, width: bool = Tru
     member = s.save(skew_join(items, grouped, ["h"], "left", unique=True).withColumn("g", F.coalesce("group_id", "h")).select("id", "h", "g"), "members")
     sizes = member.groupBy("g").agg(F.min("id").alias("group_id"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     if width:
-        own = member.select("g", "h").distinct()
-        wide = own.join(own.select("g", F.col("h").alias("o")), "g").groupBy("g").agg(F.max(hamming(F.col("h"), F.col("o"))).alias("max_distance"))
+        own = s.save(member.select("g", "h").distinct(), "own")
+        wide = skew_join(own, own.select("g", F.col("h").alias("o")), ["g"]).groupBy("g").agg(F.max(hamming(F.col("h"), F.col("o"))).alias("max_distance"))
         sizes = sizes.join(wide, "g")
     out = ["group_id", "id", "size", *(["max_distance"] if width else [])]
     return skew_join(member, s.save(sizes, "sizes"), ["g"], unique=True).select(*out)

@@ -27,7 +27,8 @@ def feed_items(stored: DataFrame, external: DataFrame) -> DataFrame:
 def feed_page(stored: DataFrame, external: DataFrame, cursor: str | None = None, limit: int | None = None, topics: int = 12) -> tuple[DataFrame, str | None]:
     """A page of rows (key, kind, id) and the next cursor, None at the end. A cursor that can't be read is the start.
 
-    external: (topic, page, place, id). The stored pins' pages end before the first external page begins.
+    external: (topic, page, place, id). The stored pins' pages end before the first external page begins. A topic ends
+    at its first empty page or after PAGES; a topic without a first page is passed over.
     """
     n, at = clamp(limit, FEED, FEED_MOST), decode_feed_cursor(cursor)
     if at[0] == "stored":
@@ -36,6 +37,12 @@ def feed_page(stored: DataFrame, external: DataFrame, cursor: str | None = None,
         more = page.next_cursor()
         return rows, encode_feed_cursor(("stored", more)) if more else encode_feed_cursor(("external", 0, 1))
     _, topic, number = at
+    here = (F.col("topic") == topic) & (F.col("page") == number)
+    start = external.filter((here | (F.col("topic") > topic) & (F.col("page") == 1)) & (F.col("topic") < topics))
+    first = start.agg(F.min(F.struct("topic", "page")).alias("at")).first()["at"]
+    if first is None:
+        return external.limit(0).select(F.lit("").alias("key"), F.lit("").alias("kind"), F.col("id").cast("string").alias("id")), None
+    topic, number = first["topic"], first["page"]
     rows = external.filter((F.col("topic") == topic) & (F.col("page") == number)).orderBy("place").limit(n)
     rows = rows.select(F.concat(F.lit("px:"), F.col("id").cast("string")).alias("key"), F.lit("result").alias("kind"), F.col("id").cast("string").alias("id"))
     after = external.filter((F.col("topic") == topic) & (F.col("page") == number + 1)).limit(1).count() and number < PAGES

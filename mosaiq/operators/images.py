@@ -17,6 +17,18 @@ MOST_TURNS, STILL = 40, 0.5
 SWATCH = "array<struct<r:int,g:int,b:int,hex:string,share:double>>"
 
 
+def area_weights(n: int, to: int) -> np.ndarray:
+    """The share of each of n pixels in each of `to` ones; an enlarged pixel is repeated."""
+    edge = np.arange(to + 1) * n / to
+    at = np.arange(n)
+    part = np.clip(np.minimum(edge[1:, None], at + 1) - np.maximum(edge[:-1, None], at), 0, None)
+    return part / part.sum(1, keepdims=True)
+
+
+def resize(a: np.ndarray, width: int, height: int) -> np.ndarray:
+    return np.einsum("yh,hwc,xw->yxc", area_weights(a.shape[0], height), a, area_weights(a.shape[1], width), optimize=True)
+
+
 def dct_basis(n: int) -> np.ndarray:
     """The orthonormal DCT-II matrix: row u is the u-th cosine."""
     x = np.arange(n)
@@ -25,20 +37,34 @@ def dct_basis(n: int) -> np.ndarray:
     return basis
 
 
+_BASIS = dct_basis(SIDE)[:BLOCK]
+
+
 def dct2d(m: np.ndarray) -> np.ndarray:
     c = dct_basis(m.shape[-1])
     return c @ m @ c.T
 
 
+def hashes_of(grays: list) -> list[str | None]:
+    """The hash of each 32 x 32 grey matrix, given row by row; None for any other length or a missing value. One product for all."""
+    flat = [None if g is None else np.asarray(g, np.float64) for g in grays]
+    good = [i for i, m in enumerate(flat) if m is not None and m.shape == (SIDE * SIDE,) and np.isfinite(m).all()]
+    out: list[str | None] = [None] * len(flat)
+    if good:
+        blocks = (_BASIS @ np.stack([flat[i] for i in good]).reshape(-1, SIDE, SIDE) @ _BASIS.T).reshape(len(good), -1)
+        bits = blocks > np.median(blocks[:, 1:], 1, keepdims=True)
+        for i, packed in zip(good, np.packbits(bits, 1), strict=True):
+            out[i] = packed.tobytes().hex()
+    return out
+
+
 def hash_of(gray) -> str | None:
-    """16 hex digits of a 32 x 32 grey matrix, row by row; None for any other length or a missing value."""
-    m = np.asarray(gray, np.float64)
-    if m.shape != (SIDE * SIDE,) or not np.isfinite(m).all():
-        return None
-    c = dct_basis(SIDE)[:BLOCK]
-    block = (c @ m.reshape(SIDE, SIDE) @ c.T).ravel()
-    bits = block > np.median(block[1:])
-    return f"{int(''.join('01'[int(b)] for b in bits), 2):016x}"
+    return hashes_of([gray])[0]
+
+
+def channel_values(pixels) -> np.ndarray:
+    """Flat r, g, b values, given as bytes or as numbers."""
+    return np.frombuffer(pixels, np.uint8) if isinstance(pixels, (bytes, bytearray, memoryview)) else np.asarray(pixels)
 
 
 class Uniform:
@@ -86,7 +112,7 @@ def k_means(pixels, k: int = 5, seed: int = 1) -> dict:
     without pixels stays and gives no swatch. Shares are of the last assignment, colours of the update after it. Largest
     share first, then by hex. No pixel: no swatch.
     """
-    px = np.asarray(pixels, np.float64)
+    px = channel_values(pixels).astype(np.float64)
     px = px[: len(px) // 3 * 3].reshape(-1, 3)
     if not len(px):
         return {"swatches": [], "iterations": 0, "inertia": 0.0}
@@ -123,13 +149,18 @@ def perceptual_hashes(images: DataFrame, gray: str = "gray", out: str = "phash")
 
     @F.pandas_udf("string")
     def hash_all(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda g: None if g is None else hash_of(g))
+        return pd.Series(hashes_of(list(batch)), dtype=object)
+
+    return images.withColumn(out, _once(hash_all)(gray))
 
-    return images.withColumn(out, hash_all(gray))
+
+def _once(udf):
+    """A function that Catalyst must not repeat: it would copy a deterministic one into filters that it derives from an explode."""
+    return udf.asNondeterministic()
 
 
 def palettes(images: DataFrame, pixels: str = "pixels", *, k: int = 5, seed: int | str = 1) -> DataFrame:
-    """images with `palette`, `iterations` and `inertia` from a column of flat r, g, b values; seed is a number or a column.
+    """images with `palette`, `iterations` and `inertia` from a column of flat r, g, b values (bytes or numbers); seed is a number or a column.
 
     Each image is clustered by itself within its Arrow batch: there is no shuffle. Null pixels give a null palette.
     """
@@ -143,19 +174,22 @@ def palettes(images: DataFrame, pixels: str = "pixels", *, k: int = 5, seed: int
         return pd.DataFrame({"palette": [f["swatches"] for f in found], "iterations": [f["iterations"] for f in found], "inertia": [f["inertia"] for f in found]})
 
     seeds = F.col(seed) if isinstance(seed, str) else F.lit(seed)
-    return images.withColumn("_c", cluster(pixels, seeds)).select("*", "_c.*").drop("_c")
+    return images.withColumn("_c", _once(cluster)(pixels, seeds)).select("*", "_c.*").drop("_c")
+
 
+def analyze(images: DataFrame, *, k: int = 5, content: str | None = None) -> DataFrame:
+    """images (gray, pixels) with phash, palette, analyzed and error: either part may fail by itself; the first failure is kept.
 
-def analyze(images: DataFrame, *, k: int = 5) -> DataFrame:
-    """images (gray, pixels) with phash, palette, analyzed and error: either part may fail by itself; the first failure is kept."""
+    The seed of the palette is made of the bytes of a column `content`, the image's file, if one is named; else of the pixels.
+    """
     kind = f"phash string, palette {SWATCH}, analyzed boolean, error string"
 
-    def one(gray, pixels) -> tuple:
-        errors, phash, palette = [], None, None
-        if gray is None or (phash := hash_of(gray)) is None:
-            errors.append("no grey matrix of 32 x 32")
+    def one(phash, pixels, data) -> tuple:
+        errors, palette = [] if phash else ["no grey matrix of 32 x 32"], None
         try:
-            palette = k_means(pixels, k, seed_of(bytes(bytearray(int(x) for x in pixels))))["swatches"]
+            values = channel_values(pixels)
+            seed = seed_of(data if data is not None else values.astype(np.uint8).tobytes())
+            palette = k_means(values, k, seed)["swatches"]
         except (TypeError, ValueError) as e:
             errors.append(f"no palette: {e}")
         return phash, palette, phash is not None or palette is not None, errors[0] if errors else None
@@ -163,55 +197,105 @@ def analyze(images: DataFrame, *, k: int = 5) -> DataFrame:
     ship(images.sparkSession)
 
     @F.pandas_udf(kind)
-    def both(gray: pd.Series, pixels: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(g, p) for g, p in zip(gray, pixels, strict=True)], columns=["phash", "palette", "analyzed", "error"])
-
-    return images.withColumn("_a", both("gray", "pixels")).select("*", "_a.*").drop("_a")
+    def both(gray: pd.Series, pixels: pd.Series, data: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(*x) for x in zip(hashes_of(list(gray)), pixels, data, strict=True)], columns=["phash", "palette", "analyzed", "error"])
+
+    data = F.col(content) if content else F.lit(None).cast("binary")
+    return images.withColumn("_a", _once(both)("gray", "pixels", data)).select("*", "_a.*").drop("_a")
+
+
+# The base table of luminance quantisation of the JPEG standard (its annex K), row by row.
+QUANTA = (
+    (16, 11, 10, 16, 24, 40, 51, 61), (12, 12, 14, 19, 26, 58, 60, 55), (14, 13, 16, 24, 40, 57, 69, 56), (14, 17, 22, 29, 51, 87, 80, 62),
+    (18, 22, 37, 56, 68, 109, 103, 77), (24, 35, 55, 64, 81, 104, 113, 92), (49, 64, 78, 87, 103, 121, 120, 101), (72, 92, 95, 98, 112, 100, 103, 99),
+)
+LUMA = np.array([0.2126, 0.7152, 0.0722])
+
+
+def _quantised(a: np.ndarray, quality: int) -> np.ndarray:
+    """What a lossy encoding of 8 x 8 blocks leaves of a height x width x 3 image: coefficients are rounded to multiples of the table's."""
+    scale = 5000 / quality if quality < 50 else 200 - 2 * quality
+    step = np.clip(np.floor((np.array(QUANTA) * scale + 50) / 100), 1, 255)
+    h, w = a.shape[:2]
+    c = dct_basis(8)
+    full = np.pad(a - 128, ((0, -h % 8), (0, -w % 8), (0, 0)), mode="edge")
+    blocks = full.reshape(full.shape[0] // 8, 8, full.shape[1] // 8, 8, 3).transpose(0, 2, 4, 1, 3)
+    rounded = np.round(c @ blocks @ c.T / step) * step
+    out = (c.T @ rounded @ c).transpose(0, 3, 1, 4, 2).reshape(full.shape)
+    return np.clip(out[:h, :w] + 128, 0, 255)
+
+
+def _smoothed(a: np.ndarray, sigma: float) -> np.ndarray:
+    """A Gaussian blur, one axis after the other, edges repeated."""
+    reach = int(np.ceil(3 * sigma))
+    kernel = np.exp(-(np.arange(-reach, reach + 1) ** 2) / (2 * sigma**2))
+    kernel /= kernel.sum()
+    for axis in (0, 1):
+        n = a.shape[axis]
+        at = np.clip(np.arange(n)[:, None] + np.arange(-reach, reach + 1)[None], 0, n - 1)
+        weights = np.zeros((n, n))
+        np.add.at(weights, (np.arange(n)[:, None], at), kernel[None])
+        a = np.tensordot(weights, a, (1, axis)) if axis == 0 else np.tensordot(a, weights, (1, 1)).transpose(0, 2, 1)
+    return a
 
 
 def edits() -> dict[str, tuple]:
-    """Transforms of a grey matrix that keep an image recognisable, and whether a copy made by it should be found."""
-    shift = lambda m, d: np.clip(m + d, 0, 255)
-
-    def resampled(m: np.ndarray, n: int) -> np.ndarray:
-        at = lambda a, b: np.minimum(np.arange(b) * a // b, a - 1)
-        small = m[np.ix_(at(len(m), n), at(len(m), n))]
-        return small[np.ix_(at(n, len(m)), at(n, len(m)))]
-
-    def cropped(m: np.ndarray, part: float) -> np.ndarray:
-        cut = int(len(m) * part / 2)
-        at = np.minimum(cut + np.arange(len(m)) * (len(m) - 2 * cut) // len(m), len(m) - 1)
-        return m[np.ix_(at, at)]
+    """Sixteen transforms of a height x width x 3 image (0..255), and whether a copy made by each should be found.
 
-    def marked(m: np.ndarray) -> np.ndarray:
-        m = m.copy()
-        m[-6:, -12:] = 255
-        return m
-
-    def blurred(m: np.ndarray) -> np.ndarray:
-        p = np.pad(m, 1, mode="edge")
-        return sum(p[i : i + len(m), j : j + len(m)] for i in range(3) for j in range(3)) / 9
+    Encodings are imitated by rounding in the frequency domain, sizes are changed by area; two edits change the picture's
+    layout, which the hash isn't made to survive, and are reported apart.
+    """
 
-    noise = np.sin(np.arange(SIDE * SIDE) * 12.9898).reshape(SIDE, SIDE)
+    def sized(a: np.ndarray, part: float) -> np.ndarray:
+        h, w = (max(1, int(n * part + 0.5)) for n in a.shape[:2])
+        return resize(a, w, h)
+
+    def cropped(a: np.ndarray, part: float) -> np.ndarray:
+        (h, w), r = a.shape[:2], lambda x: int(x + 0.5)
+        top, left = r(h * part / 2), r(w * part / 2)
+        return a[top : top + r(h * (1 - part)), left : left + r(w * (1 - part))]
+
+    def marked(a: np.ndarray) -> np.ndarray:
+        (h, w), a, edge = a.shape[:2], a.copy(), 8
+        mh, mw = int(h * 0.12 + 0.5), int(w * 0.3 + 0.5)
+        part = a[h - mh - edge : h - edge, w - mw - edge : w - edge]
+        part[:] = 0.25 * part + 0.75 * 255
+        return a
+
+    grey = lambda a: np.repeat((a @ LUMA)[:, :, None], 3, 2)
+    clip = lambda a: np.clip(a, 0, 255)
+    # Names, in the order in which they are reported, and amounts.
     return {
-        "same": (lambda m: m, True), "brighter": (lambda m: shift(m, 20), True), "darker": (lambda m: shift(m, -20), True),
-        "more contrast": (lambda m: np.clip((m - 128) * 1.2 + 128, 0, 255), True), "less contrast": (lambda m: (m - 128) * 0.8 + 128, True),
-        "gamma": (lambda m: 255 * (m / 255) ** 0.8, True), "blur": (blurred, True), "noise": (lambda m: shift(m, 6 * noise), True),
-        "half size": (lambda m: resampled(m, 16), True), "quarter size": (lambda m: resampled(m, 8), True), "coarse levels": (lambda m: np.floor(m / 16) * 16, True),
-        "crop 5%": (lambda m: cropped(m, 0.07), True), "crop 15%": (lambda m: cropped(m, 0.15), True), "mark": (marked, True),
-        "turned": (lambda m: np.rot90(m), False), "mirrored": (lambda m: m[:, ::-1], False),
+        "re-encode JPEG q40": (lambda a: _quantised(a, 40), True), "re-encode JPEG q15": (lambda a: _quantised(a, 15), True),
+        "resize to 25%": (lambda a: sized(a, 0.25), True), "resize to 150%": (lambda a: sized(a, 1.5), True), "convert to PNG": (lambda a: a, True),
+        "brightness +20%": (lambda a: clip(a * 1.2), True), "brightness -20%": (lambda a: clip(a * 0.8), True),
+        "saturation +50%": (lambda a: clip(grey(a) + 1.5 * (a - grey(a))), True), "greyscale": (grey, True),
+        "sharpen": (lambda a: clip(2 * a - _smoothed(a, 2)), True), "blur": (lambda a: _smoothed(a, 3), True),
+        "crop 5%": (lambda a: cropped(a, 0.05), True), "crop 15%": (lambda a: cropped(a, 0.15), True), "watermark corner": (marked, True),
+        "rotate 90°": (lambda a: np.rot90(a, -1), False), "flip horizontal": (lambda a: a[:, ::-1], False),
     }
 
 
 def edited_hashes(images: DataFrame) -> DataFrame:
-    """(pin_id, edit, in_scope, phash) for every edit of every image (id, gray)."""
+    """(pin_id, edit, in_scope, phash) for every edit of every image (id, width, height, pixels: flat r, g, b values), and (id, "original").
+
+    Images whose values don't fill width and height are left out.
+    """
     kind = f"pin_id {images.schema['id'].dataType.simpleString()}, edit string, in_scope boolean, phash string"
 
     ship(images.sparkSession)
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        every = edits()
+        every = {"original": (lambda a: a, True), **edits()}
         for b in batches:
-            yield pd.DataFrame([(i, name, ok, hash_of(f(np.asarray(g, float).reshape(SIDE, SIDE)).ravel())) for i, g in zip(b["id"], b["gray"], strict=True) if g is not None and len(g) == SIDE * SIDE for name, (f, ok) in every.items()], columns=["pin_id", "edit", "in_scope", "phash"])
-
-    return images.select("id", "gray").mapInPandas(make, kind)
+            rows, grays = [], []
+            for i, w, h, px in zip(b["id"], b["width"], b["height"], b["pixels"], strict=True):
+                if px is None or len(px) != w * h * 3:
+                    continue
+                a = channel_values(px).reshape(int(h), int(w), 3).astype(float)
+                for name, (f, ok) in every.items():
+                    rows.append((i, name, ok))
+                    grays.append(np.floor(resize(f(a), SIDE, SIDE) @ LUMA + 0.5).ravel())
+            yield pd.DataFrame([(*r, h) for r, h in zip(rows, hashes_of(grays), strict=True)], columns=["pin_id", "edit", "in_scope", "phash"])
+
+    return images.select("id", "width", "height", "pixels").mapInPandas(make, kind)

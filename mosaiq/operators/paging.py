@@ -43,6 +43,21 @@ def decode_feed_cursor(cursor: str | None) -> tuple:
     return ("stored", None)
 
 
+def cursors(rows: DataFrame, created: str = "created_at", id_col: str = "id") -> DataFrame:
+    """rows with `cursor`, the cursor of the page behind each row, as encode_cursor makes it."""
+    plain = F.concat(epoch_ms(created).cast("string"), F.lit("."), F.col(id_col).cast("string"))
+    return rows.withColumn("cursor", F.translate(F.rtrim(F.base64(plain.cast("binary")), F.lit("=")), "+/\r\n", "-_"))
+
+
+def read_cursors(rows: DataFrame, cursor: str = "cursor") -> DataFrame:
+    """rows with `cursor_ms` and `cursor_id`, both null for anything that isn't a cursor."""
+    text = F.try_to_binary(F.translate(cursor, "-_", "+/"), F.lit("base64")).cast("string")
+    ms = F.expr("try_cast(_found as bigint)")
+    rows = rows.withColumn("_text", text).withColumn("_found", F.regexp_extract("_text", r"(?s)^(-?[0-9]+)\.(.+)\z", 1))
+    rows = rows.withColumn("cursor_ms", ms).withColumn("cursor_id", F.when(F.col("cursor_ms").isNotNull(), F.regexp_extract("_text", r"(?s)^(-?[0-9]+)\.(.+)\z", 2)))
+    return rows.drop("_text", "_found")
+
+
 def clamp(limit: int | None, default: int = PAGE, most: int = MOST) -> int:
     return max(1, min(most, default if limit is None else int(limit)))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mosaiq.operators.filters import in_window
+from mosaiq.runtime import Scratch, dense_ids
 
 SAVE_WEIGHT, COMMENT_WEIGHT = 3, 1
 
@@ -21,14 +22,15 @@ def engagement(pins: DataFrame, saves: DataFrame, comments: DataFrame) -> DataFr
 def rank_by_popularity(pins: DataFrame, saves: DataFrame, comments: DataFrame, *, window: str = "all", now: int = 0, limit: int | None = None) -> DataFrame:
     """Pins posted within the window, ranked 1, 2, 3... by score, then newest, then id falling; pins without a point too.
 
-    With a limit only that many rows are gathered to be numbered. Without one, ranks need all rows in one order and so
-    in one task: for large tables give a limit.
+    With a limit only that many rows are gathered to be numbered. Without one, rows are range-partitioned by the order,
+    and a row's number is that of the rows in the partitions before and its place in its own.
     """
     inside = in_window(window, now)
     rows = engagement(pins if inside is None else pins.filter(inside), saves, comments)
     order = [F.desc("score"), F.desc("created_at"), F.desc("id")]
-    if limit is not None:
-        rows = rows.orderBy(*order).limit(limit)
+    if limit is None:
+        return dense_ids(Scratch(pins.sparkSession, "popularity"), rows, order, "ranked", "rank").withColumn("rank", F.col("rank") + 1)
+    rows = rows.orderBy(*order).limit(limit)
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 

@@ -6,7 +6,6 @@ looked up by name in RANKERS; any function of that shape can be registered.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +15,7 @@ from mosaiq.functions.dates import epoch_ms, recency
 from mosaiq.functions.text import document_text, tokens
 from mosaiq.runtime import Scratch
 
+# The weights, and the sentences of reasons below.
 WEIGHTS = {"content": 0.45, "collaborative": 0.35, "popularity": 0.10, "recency": 0.10}
 HALF_POINT = 5
 
@@ -118,14 +118,14 @@ def make_hybrid(weights: dict[str, float] | None = None) -> Callable[..., DataFr
 RANKERS: dict[str, Callable[..., DataFrame]] = {"content": content_based, "collaborative": collaborative, "hybrid": make_hybrid()}
 
 
-def ranker(name: str | None = None) -> Callable[..., DataFrame]:
-    """By name, else by the RECOMMENDER environment variable, else hybrid; unknown names are passed over."""
-    return next(RANKERS[n] for n in (name, os.environ.get("RECOMMENDER"), "hybrid") if n in RANKERS)
+def ranker(name: str | None = None, configured: str | None = None) -> Callable[..., DataFrame]:
+    """By name, else by the configured one (related reads the session's mosaiq.recommender), else hybrid; unknown names are passed over."""
+    return next(RANKERS[n] for n in (name, configured, "hybrid") if n in RANKERS)
 
 
 def related(pins: DataFrame, saves: DataFrame, subject_id, *, strategy: str | None = None, limit: int = 12, min_score: float = 0.0, now: int = 0) -> DataFrame:
     """The best other pins with a score above min_score: by score, then newest, then id falling."""
-    scored = ranker(strategy)(pins, saves, subject_id, now).filter(F.col("score") > min_score)
+    scored = ranker(strategy, pins.sparkSession.conf.get("mosaiq.recommender", None))(pins, saves, subject_id, now).filter(F.col("score") > min_score)
     return scored.join(pins.select("id", "created_at"), "id").orderBy(F.desc(F.round("score", 9)), F.desc("created_at"), F.desc("id")).limit(limit).drop("created_at")
 
 

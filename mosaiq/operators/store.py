@@ -2,13 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mosaiq.functions.color import Rgb, family
 from mosaiq.functions.dates import epoch_ms
+from mosaiq.functions.text import pin_slug
 from mosaiq.operators.filters import every, parse_visibility, text_score, visible_to
-from mosaiq.operators.paging import ALL, clamp, newest
+from mosaiq.operators.paging import ALL, MOST, clamp, list_pins, newest
+
+# The fields that a list of pins shows, beside the id.
+LISTED = (
+    "title description image_url thumb_url author author_id created_at source public_id width height provider provider_id "
+    "provider_page_url credit tags visibility phash palette color_families analyzed_at"
+).split()
+
+
+_KINDS = {"width": "double", "height": "double", "created_at": "timestamp", "analyzed_at": "timestamp", "tags": "array<string>", "color_families": "array<string>", "palette": "array<struct<r:int,g:int,b:int,hex:string,share:double>>"}
+
+
+def _listed(columns: list[str]) -> list[Column]:
+    return [F.col(c) if c in columns else F.lit(None).cast(_KINDS.get(c, "string")).alias(c) for c in LISTED]
+
+
+def list_view(pins: DataFrame) -> DataFrame:
+    """id and the 21 listed fields, null where the table lacks one; any other column is left out."""
+    return pins.select("id", *_listed(pins.columns))
+
+
+def board(pins: DataFrame, author: str, sort: str = "newest", limit: int = MOST) -> DataFrame:
+    """The author's newest pins, at most `limit`, private ones too; these sorted newest or oldest first, or by title.
+
+    Titles are in the Unicode order of a dictionary, equal ones newest first. An unknown sort is newest.
+    """
+    page = list_pins(pins, author=author, viewer=author, limit=limit).rows
+    if sort == "oldest":
+        return page.orderBy("created_at", "id")
+    if sort == "title":
+        return page.orderBy(F.collate("title", "UNICODE"), F.desc("created_at"), F.desc("id"))
+    return page.orderBy(F.desc("created_at"), F.desc("id"))
+
+
+def private_count(pins: DataFrame, author: str, limit: int = MOST) -> DataFrame:
+    """How many pins of the author's board are private."""
+    return board(pins, author, limit=limit).agg(F.count_if(F.col("visibility") == "private").alias("private_pins"))
 
 
 def pin_view(pins: DataFrame) -> DataFrame:
@@ -72,6 +112,29 @@ def insert_absent(present: DataFrame, new: DataFrame, keys: list[str]) -> DataFr
     return present.unionByName(fresh.join(present.select(*keys), keys, "left_anti")).unionByName(new.filter(~given))
 
 
+def create_pins(stored: DataFrame, new: DataFrame, *, now: int, suffix: Column | None = None) -> dict[str, DataFrame]:
+    """`created`, the new pins as they are stored, and `already_saved`, those whose source image their author has saved.
+
+    new: title, image_url, author_id and any of the other listed fields; stored: author_id, provider, provider_id. The id
+    is made of the title and a suffix (six random hex digits unless a column is given), the source, if missing, is upload
+    with a public_id and link without, visibility public; an empty array of tags is null; created_at is `now` in
+    milliseconds. An author saves an image of a provider, told by a provider_id, once (a missing provider is one of its
+    own): of rows within `new` that clash, the first by all columns is created. Rows without a provider_id never clash.
+    """
+    suffix = F.substring(F.expr("replace(uuid(), '-')"), 1, 6) if suffix is None else suffix
+    rows = new.select(*_listed(new.columns), suffix.alias("_suffix"))
+    key, given = ["author_id", "provider", "provider_id"], F.col("provider_id").isNotNull()
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy(*[c for c in LISTED if c not in key]))
+    there = stored.filter(given).select(*[F.col(c).alias(f"_{c}") for c in key]).distinct().withColumn("_there", F.lit(True))
+    tried = rows.filter(given).withColumn("_nth", nth).join(there, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key]), "left")
+    tried = tried.select(*LISTED, "_suffix", (F.col("_there").isNotNull() | (F.col("_nth") > 1)).alias("_clash"))
+    tried = tried.unionByName(rows.filter(~given).withColumn("_clash", F.lit(False)))
+    source = F.coalesce("source", F.when(F.coalesce("public_id", F.lit("")) != "", "upload").otherwise("link"))
+    made = {"source": source, "visibility": F.coalesce("visibility", F.lit("public")), "created_at": F.timestamp_millis(F.lit(now)), "tags": F.when(F.size("tags") > 0, F.col("tags"))}
+    created = tried.filter(~F.col("_clash")).select(pin_slug("title", F.col("_suffix")).alias("id"), *[made.get(c, F.col(c)).alias(c) for c in LISTED])
+    return {"created": created, "already_saved": tried.filter("_clash").select(*[c for c in LISTED if c in new.columns])}
+
+
 def upsert(present: DataFrame, new: DataFrame, key: str = "id", *, force: bool = False) -> DataFrame:
     """Inserts what is absent; with force, new rows replace present ones of the same key."""
     if not force:
@@ -91,6 +154,15 @@ def set_analysis(pins: DataFrame, results: DataFrame) -> DataFrame:
     return out.withColumns(changed).select(*pins.columns)
 
 
+def store_analysis(pins: DataFrame, analysed: DataFrame) -> DataFrame:
+    """set_analysis of the results (id, phash, palette, analyzed, analyzed_at) where something was found; the others aren't stamped.
+
+    For an analysis within the request, which is tried again later if it fails; set_analysis itself stamps every result,
+    as a job in the background does that must not try the same image forever.
+    """
+    return set_analysis(pins, analysed.filter("analyzed").select("id", "phash", "palette", "analyzed_at"))
+
+
 def _family(swatch: Column) -> Column:
     return family(Rgb(swatch["r"], swatch["g"], swatch["b"]))
 
@@ -113,9 +185,19 @@ def delete_pins(pins: DataFrame, saves: DataFrame, comments: DataFrame, gone: Da
     """Removes the pins of gone (id, author_id) that their author owns, with their saves and comments; `assets` are the uploads to remove."""
     doomed = pins.join(gone.select("id", "author_id").distinct(), ["id", "author_id"], "left_semi")
     ids = doomed.select("id")
-    by_pin = ids.withColumnRenamed("id", "pin_id")
     assets = doomed.filter((F.col("source") == "upload") & F.col("public_id").isNotNull()).select("public_id")
-    return {"pins": pins.join(ids, "id", "left_anti"), "saves": saves.join(by_pin, "pin_id", "left_anti"), "comments": comments.join(by_pin, "pin_id", "left_anti"), "assets": assets}
+    return {"pins": pins.join(ids, "id", "left_anti"), "saves": forget_pins(saves, ids)["left"], "comments": forget_pins(comments, ids)["left"], "assets": assets}
+
+
+def forget_pins(rows: DataFrame, ids: DataFrame) -> dict[str, DataFrame]:
+    """`left`, the rows (saves, comments) whose pin_id isn't in ids, and `removed`, how many others there were for each pin of ids.
+
+    Rows without a pin_id stay; a pin without rows has 0; an id that occurs twice counts once.
+    """
+    gone = ids.select(F.col("id").alias("pin_id")).filter("pin_id is not null").distinct()
+    counts = rows.groupBy("pin_id").agg(F.count(F.lit(1)).alias("n"))
+    removed = gone.join(counts, "pin_id", "left").select("pin_id", F.coalesce("n", F.lit(0)).alias("removed"))
+    return {"left": rows.join(gone, "pin_id", "left_anti"), "removed": removed}
 
 
 def toggle_saves(saves: DataFrame, toggles: DataFrame) -> DataFrame:

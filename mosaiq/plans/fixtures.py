@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.functions.hashing import block_hash
+from mosaiq.functions.hashing import block_hash, is_hash
 from mosaiq.operators.images import dct_basis
 from mosaiq.runtime import ship, table
 
@@ -34,20 +34,29 @@ def tagged(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("author"), tags.alias("tags"), (F.col("p_size") * 10).alias("width"), ((F.col("p_partkey") % 7 + 1) * 50).alias("height"))
 
 
-def images(spark: SparkSession, d: str) -> DataFrame:
-    """(id, gray, pixels): a smooth 32 x 32 picture from each embedding, the sum of its low frequencies."""
+def images(spark: SparkSession, d: str, side: int = 32) -> DataFrame:
+    """(id, width, height, gray, pixels): a smooth square picture from each embedding, the sum of its low frequencies."""
 
     ship(spark)
 
-    @F.pandas_udf("gray array<double>, pixels array<int>")
+    @F.pandas_udf("gray array<double>, pixels binary")
     def draw(vectors: pd.Series) -> pd.DataFrame:
-        c = dct_basis(32)[:8]
-        gray = [np.clip(128 + 400 * (c.T @ np.asarray(v, float).reshape(8, 8) @ c), 0, 255) for v in vectors]
-        return pd.DataFrame({"gray": [g.ravel().tolist() for g in gray], "pixels": [np.stack([g, g.T, 255 - g], 2).astype(int).ravel().tolist() for g in gray]})
+        c = dct_basis(side)[:8]
+        gray = np.clip(128 + 400 * (c.T @ np.stack([np.asarray(v, float) for v in vectors]).reshape(-1, 8, 8) @ c), 0, 255)
+        rgb = np.stack([gray, gray.transpose(0, 2, 1), 255 - gray], 3).astype(np.uint8)
+        return pd.DataFrame({"gray": list(gray.reshape(len(gray), -1)), "pixels": [x.tobytes() for x in rgb]})
 
     # one small file would be one task: vectors are spread before they become pictures
     vectors = table(spark, d, "embeddings").select("vec_id", "embedding").repartition(spark.sparkContext.defaultParallelism, "vec_id")
-    return vectors.select(F.col("vec_id").alias("id"), draw("embedding").alias("m")).select("id", "m.*")
+    drawn = vectors.select(F.col("vec_id").alias("id"), F.lit(side).alias("width"), F.lit(side).alias("height"), draw.asNondeterministic()("embedding").alias("m"))
+    return drawn.select("id", "width", "height", "m.*")
+
+
+def pin_swatches(pins: DataFrame) -> DataFrame:
+    """(id, pos, r, g, b, share): two colours a pin with a valid hash, three bytes of it each."""
+    rows = pins.filter(is_hash("phash")).select("id", "phash", F.explode(F.array(F.lit(0), F.lit(1))).alias("pos"))
+    channel = lambda i: F.conv(F.substring("phash", 6 * F.col("pos") + 2 * i + 3, F.lit(2)), 16, 10).cast("int")
+    return rows.select("id", "pos", channel(0).alias("r"), channel(1).alias("g"), channel(2).alias("b"), F.when(F.col("pos") == 0, 0.75).otherwise(0.25).alias("share"))
 
 
 def external(spark: SparkSession, d: str) -> DataFrame:

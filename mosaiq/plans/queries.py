@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,12 +13,12 @@ from mosaiq.functions import hashing as H
 from mosaiq.functions import text as T
 from mosaiq.functions.dates import epoch_ms, recency, time_ago
 from mosaiq.operators import colors, dashboard, duplicates, evaluate, feed, images, paging, popularity, recommend, store, topics
-from mosaiq.operators.filters import matches, text_score, validate, visible_to
+from mosaiq.operators.filters import form_errors, matches, parse_visibility, text_score, validate, visible_to
 from mosaiq.plans import fixtures as X
 from mosaiq.plans.oracle import SQL as SQL  # noqa: PLC0414
 from mosaiq.runtime import Scratch, table
-from mosaiq.sources import tables
-from mosaiq.sources.external import normalise
+from mosaiq.sources import seed, sinks, tables
+from mosaiq.sources.external import image_by_id, normalise
 from mosaiq.streaming import comments as live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,9 +37,15 @@ def _ms(df: DataFrame, *more: str) -> DataFrame:
     return df.select("id", epoch_ms("created_at").alias("created_ms"), *more)
 
 
+def _seen(spark: SparkSession, d: str, *columns: str, viewer: str | None = None) -> DataFrame:
+    """The pins that the viewer may see."""
+    return tables.pins(spark, d, *columns, "author_id", "visibility").filter(visible_to(viewer))
+
+
 def _subject(spark: SparkSession, d: str) -> str:
-    """The pin most users saved; of equals the first by id."""
-    row = tables.saves(spark, d).groupBy("pin_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "pin_id").first()
+    """Of the pins the viewer may see the one most users saved; of equals the first by id."""
+    seen = _seen(spark, d, viewer=X.AUTHOR).select(F.col("id").alias("pin_id"))
+    row = tables.saves(spark, d).join(seen, "pin_id", "left_semi").groupBy("pin_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "pin_id").first()
     return row["pin_id"] if row else ""
 
 
@@ -58,13 +64,13 @@ def near_duplicate_pairs(spark, d):
 
 @query
 def pin_duplicate_pairs(spark, d):
-    return duplicates.duplicate_pairs(duplicates.hashed(tables.pins(spark, d, "phash")), 10)
+    return duplicates.duplicate_pairs(duplicates.hashed(_seen(spark, d, "phash", viewer=X.AUTHOR)), 10)
 
 
 @query
 def near_duplicates_of(spark, d):
     """What is near the most frequent hash."""
-    p = tables.pins(spark, d, "phash")
+    p = _seen(spark, d, "phash", viewer=X.AUTHOR)
     probe = p.filter(H.is_hash("phash")).groupBy("phash").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "phash").first()
     return duplicates.near_duplicates_of(p, probe["phash"] if probe else "0" * 16, threshold=20, limit=50).select("id", "distance", "verdict")
 
@@ -72,7 +78,7 @@ def near_duplicates_of(spark, d):
 @query
 def duplicate_guard(spark, d):
     p = tables.pins(spark, d, "phash", "author_id", "visibility")
-    first = p.filter(H.is_hash("phash")).orderBy("id").first()
+    first = p.filter(visible_to(X.AUTHOR) & H.is_hash("phash")).orderBy("id").first()
     return duplicates.duplicate_guard(p, first["phash"] if first else "0" * 16, X.AUTHOR).select("distance", "verdict")
 
 
@@ -83,7 +89,7 @@ def duplicate_clusters(spark, d):
 
 @query
 def pin_duplicate_groups(spark, d):
-    return duplicates.duplicate_groups(duplicates.hashed(tables.pins(spark, d, "phash")), 10)
+    return duplicates.duplicate_groups(duplicates.hashed(_seen(spark, d, "phash", viewer=X.AUTHOR)), 10)
 
 
 @query
@@ -111,14 +117,12 @@ def author_board(spark, d):
 
 @query
 def board_oldest_first(spark, d):
-    mine = tables.pins(spark, d, "created_at", "author_id", "title").filter(F.col("author_id") == X.AUTHOR)
-    return mine.orderBy("created_at", "id").limit(100).select("id", "title")
+    return store.board(tables.pins(spark, d, "created_at", "author_id", "visibility", "title"), X.AUTHOR, "oldest").select("id", "title")
 
 
 @query
 def board_by_title(spark, d):
-    mine = tables.pins(spark, d, "author_id", "title").filter(F.col("author_id") == X.AUTHOR)
-    return mine.orderBy(F.collate("title", "UNICODE"), "id").limit(100).select("id", "title")
+    return store.board(tables.pins(spark, d, "created_at", "author_id", "visibility", "title"), X.AUTHOR, "title").select("id", "title")
 
 
 @query
@@ -127,6 +131,33 @@ def feed_union(spark, d):
     return feed.feed_items(stored, X.external(spark, d)).orderBy("phase", "at").select("phase", "key", "kind", "id")
 
 
+@query
+def feed_pages(spark, d):
+    """Pages of the feed by their cursors: the first two of stored pins, two of external results; with the next cursor."""
+    stored, found = tables.pins(spark, d, "created_at", "author_id", "visibility"), X.external(spark, d)
+    at, out = None, None
+    for number, start in enumerate((None, None, paging.encode_feed_cursor(("external", 3, 1)), paging.encode_feed_cursor(("external", 11, 5)))):
+        rows, at = feed.feed_page(stored, found, at if number == 1 else start, topics=12)
+        rows = rows.select(F.lit(number).alias("page"), "key", "kind", F.lit(at).cast("string").alias("next"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query
+def cursor_codec(spark, d):
+    """The cursor behind each pin, and what it is read as; and what a title is read as."""
+    rows = paging.read_cursors(paging.cursors(tables.pins(spark, d, "created_at", "title")))
+    return paging.read_cursors(rows.withColumnsRenamed({"cursor_ms": "ms", "cursor_id": "row_id"}), "title").select("id", "cursor", "ms", "row_id", "cursor_ms", "cursor_id")
+
+
+@query
+def feed_cursors(spark, d):
+    """What cursors of the feed are read as."""
+    texts = ("d.abc", "d.", "p.3.2", "p.0.1", "p.3.0", "p.x.1", "q.1.1", "", "p.11.16")
+    rows = [(t, str(x[0]), None if x[1] is None else str(x[1]), x[2] if len(x) > 2 else None) for t in texts for x in [paging.decode_feed_cursor(t)]]
+    return spark.createDataFrame(rows, "cursor string, phase string, at string, page int")
+
+
 @query
 def orders_keyset_page(spark, d):
     o = table(spark, d, "orders")
@@ -156,6 +187,13 @@ def unanalysed_batch(spark, d):
     return _ms(store.unanalysed(tables.pins(spark, d, "created_at", "analyzed_at")))
 
 
+@query
+def pin_list(spark, d):
+    """The fields that a list of pins shows."""
+    rows = store.list_view(table(spark, d, "pins").filter(visible_to()).distinct())
+    return rows.withColumn("tags", F.concat_ws("|", "tags")).withColumn("created_at", epoch_ms("created_at")).withColumn("analyzed_at", epoch_ms("analyzed_at")).withColumn("palette", F.size("palette")).withColumn("color_families", F.size("color_families"))
+
+
 @query
 def pin_hash_list(spark, d):
     return store.pin_hashes(tables.pins(spark, d, "phash", "title", "image_url", "author_id", "visibility"))
@@ -174,7 +212,7 @@ def pin_counts(spark, d):
 
 @query
 def private_count(spark, d):
-    return tables.pins(spark, d, "visibility").agg(F.count_if(F.col("visibility") == "private").alias("private_pins"))
+    return store.private_count(tables.pins(spark, d, "created_at", "author_id", "visibility"), X.AUTHOR)
 
 
 @query
@@ -197,23 +235,23 @@ def text_search(spark, d):
 
 @query
 def discover_search(spark, d):
-    return tables.pins(spark, d, "title", "description").filter(matches("light walks")).select("id")
+    return _seen(spark, d, "title", "description").filter(matches("light walks")).select("id")
 
 
 @query
 def discover_search_plain(spark, d):
-    return tables.pins(spark, d, "title", "description").filter(matches("At ")).select("id")
+    return _seen(spark, d, "title", "description").filter(matches("At ")).select("id")
 
 
 # popularity
 
 
-def _engaged(spark, d, *columns):
-    return tables.pins(spark, d, "created_at", *columns), tables.saves(spark, d), tables.comments(spark, d, "pin_id")
+def _engaged(spark, d, viewer=None):
+    return _seen(spark, d, "created_at", viewer=viewer), tables.saves(spark, d), tables.comments(spark, d, "pin_id")
 
 
 def _popular(spark, d, window):
-    rows = popularity.rank_by_popularity(*_engaged(spark, d, "author_id", "visibility"), window=window, now=X.NOW, limit=500)
+    rows = popularity.rank_by_popularity(*_engaged(spark, d), window=window, now=X.NOW, limit=500)
     return rows.select("rank", "id", "saves", "comments", "score")
 
 
@@ -239,7 +277,7 @@ def leaderboard_totals(spark, d):
 
 @query
 def top_pins(spark, d):
-    p, s, c = _engaged(spark, d, "author_id")
+    p, s, c = _engaged(spark, d, X.AUTHOR)
     return popularity.top_pins(p.filter(F.col("author_id") == X.AUTHOR), s, c).select("id", "saves", "comments", "score")
 
 
@@ -269,25 +307,25 @@ def comment_thread(spark, d):
 
 @query
 def content_related(spark, d):
-    p = tables.pins(spark, d, "title", "description", "created_at")
+    p = _seen(spark, d, "title", "description", "created_at", viewer=X.AUTHOR)
     return _round(recommend.related(p, tables.saves(spark, d), _subject(spark, d), strategy="content"), "score").select("id", "score")
 
 
 @query
 def collaborative_related(spark, d):
-    p = tables.pins(spark, d, "title", "description", "created_at")
+    p = _seen(spark, d, "title", "description", "created_at", viewer=X.AUTHOR)
     return _round(recommend.related(p, tables.saves(spark, d), _subject(spark, d), strategy="collaborative", limit=30), "score")
 
 
 @query
 def hybrid_related(spark, d):
-    p = tables.pins(spark, d, "title", "description", "created_at")
+    p = _seen(spark, d, "title", "description", "created_at", viewer=X.AUTHOR)
     return _round(recommend.related(p, tables.saves(spark, d), _subject(spark, d), now=X.NOW), "score").select("id", "score")
 
 
 @query
 def content_reasons(spark, d):
-    p = tables.pins(spark, d, "title", "description")
+    p = _seen(spark, d, "title", "description", viewer=X.AUTHOR)
     return _round(recommend.content_based(p, tables.saves(spark, d), _subject(spark, d)), "score")
 
 
@@ -314,7 +352,7 @@ def tag_overlap_all(spark, d):
 
 @query
 def discover_topics(spark, d):
-    return _round(topics.topics(tables.pins(spark, d, "title", "description")), "weight")
+    return _round(topics.topics(_seen(spark, d, "title", "description")), "weight")
 
 
 @query
@@ -324,7 +362,7 @@ def board_keywords(spark, d):
 
 @query
 def document_frequencies(spark, d):
-    return topics.document_frequencies(tables.pins(spark, d, "title", "description"))
+    return topics.document_frequencies(_seen(spark, d, "title", "description"))
 
 
 # colour
@@ -387,7 +425,19 @@ def board_counts(spark, d):
 
 @query
 def duplicate_counts(spark, d):
-    return dashboard.duplicate_counts(duplicates.duplicate_groups(duplicates.hashed(tables.pins(spark, d, "phash")), 10, width=False))
+    return dashboard.duplicate_counts(duplicates.duplicate_groups(duplicates.hashed(_seen(spark, d, "phash", viewer=X.AUTHOR)), 10, width=False))
+
+
+@query
+def dashboard_stats(spark, d):
+    """All numbers of one user's board as (part, name, value)."""
+    p = tables.pins(spark, d, "created_at", "author_id", "visibility", "phash")
+    parts = dashboard.dashboard_stats(p, tables.saves(spark, d), tables.comments(spark, d, "pin_id"), X.pin_swatches(p), X.AUTHOR, "2024-12-31")
+    number = lambda c: F.round(F.col(c).cast("double"), 6).alias("value")
+    rows = [parts[k].select(F.lit(k).alias("part"), F.lit(c).alias("name"), number(c)) for k in ("counts", "analysis", "duplicates") for c in parts[k].columns]
+    named = {"activity": ("day", "pins"), "palette": ("family", "weight"), "top": ("id", "score"), "pins": ("id", "score")}
+    rows += [parts[k].select(F.lit(k).alias("part"), F.col(a).cast("string").alias("name"), number(b)) for k, (a, b) in named.items()]
+    return reduce(DataFrame.unionByName, rows)
 
 
 # evaluation
@@ -485,9 +535,48 @@ def toggle_saves(spark, d):
     return store.toggle_saves(s, flips)
 
 
+@query
+def create_pins(spark, d):
+    """Arriving pins made anew: those created, and those whose image their author has saved."""
+    columns = ("title", "author_id", "provider", "provider_id", "public_id", "source", "visibility", "tags")
+    new = table(spark, d, "incoming_pins").select("id", *columns).distinct()
+    made = store.create_pins(tables.pins(spark, d, "author_id", "provider", "provider_id"), new, now=X.NOW, suffix=F.substring(F.md5("id"), 1, 6))
+    created = made["created"].select("id", "author_id", "provider_id", "source", "visibility", F.size("tags").alias("n_tags"), epoch_ms("created_at").alias("created_ms"))
+    saved = made["already_saved"].select(F.lit(None).cast("string"), "author_id", "provider_id", "source", "visibility", F.lit(None).cast("int"), F.lit(None).cast("bigint"))
+    return created.union(saved)
+
+
+@query
+def store_analysis(spark, d):
+    """An analysis within the request: a pin of which nothing was found isn't stamped."""
+    p = tables.pins(spark, d, "phash", "analyzed_at").withColumn("palette", F.lit(None).cast(images.SWATCH)).withColumn("color_families", F.lit(None).cast("array<string>"))
+    found = p.filter("analyzed_at is null").select("id", F.lit("00ff00ff00ff00ff").alias("phash"), F.lit(None).cast(images.SWATCH).alias("palette"), (F.length("id") % 2 == 0).alias("analyzed"), F.lit("2025-01-01 00:00:00").cast("timestamp").alias("analyzed_at"))
+    return store.store_analysis(p, found).select("id", "phash", epoch_ms("analyzed_at").alias("analyzed_ms"))
+
+
+@query
+def forgotten_comments(spark, d):
+    """How many comments go with each pin of one author."""
+    gone = tables.pins(spark, d, "author_id").filter(F.col("author_id") == X.AUTHOR).select("id")
+    return store.forget_pins(tables.comments(spark, d, "pin_id"), gone)["removed"]
+
+
+@query
+def form_limits(spark, d):
+    """Pins and comments that a form refuses, with the fields at fault."""
+    p = form_errors(tables.pins(spark, d, "title", "description")).select(F.lit("pin").alias("kind"), "id", F.concat_ws(",", "errors").alias("errors"))
+    c = form_errors(tables.comments(spark, d, "body")).select(F.lit("comment"), F.col("id").cast("string"), F.concat_ws(",", "errors"))
+    return p.union(c).filter("errors <> ''")
+
+
+@query
+def parsed_visibility(spark, d):
+    return tables.pins(spark, d, "visibility").select("id", parse_visibility(F.upper("visibility")).alias("upper"), parse_visibility("visibility").alias("as_stored"))
+
+
 @query
 def validate_pins(spark, d):
-    p = tables.pins(spark, d, "title", "description", "image_url", "thumb_url", "author_id", "created_at", "phash", "source", "visibility")
+    p = tables.pins(spark, d, "title", "description", "image_url", "thumb_url", "author_id", "created_at", "phash", "source", "visibility", "provider")
     return validate(p).select("id", F.concat_ws(",", "broken").alias("broken"))
 
 
@@ -519,6 +608,55 @@ def hash_functions(spark, d):
     return p.select("id", H.is_hash("phash").alias("valid"), H.hash_text(H.hash_bits("phash")).alias("again"), distance.alias("distance"), F.round(H.similarity(distance), 6).alias("similarity"), H.classify(distance).alias("verdict"))
 
 
+@query
+def hex_colors(spark, d):
+    """The first digits of each hash read as a colour of six and of three digits, and its title as none."""
+    p = tables.pins(spark, d, "phash", "title").filter(H.is_hash("phash"))
+    full, short, bad = C.from_hex(F.concat(F.lit(" #"), F.upper(F.substring("phash", 1, 6)))), C.from_hex(F.substring("phash", 1, 3)), C.from_hex("title")
+    return p.select("id", full.r.alias("r"), full.g.alias("g"), full.b.alias("b"), short.r.alias("short_r"), short.b.alias("short_b"), bad.r.alias("none"))
+
+
+@query
+def hash_bits(spark, d):
+    p = tables.pins(spark, d, "phash").filter("phash is not null")
+    return p.select("id", F.array_join(F.transform(H.bit_array(H.hash_bits("phash")), lambda b: F.when(b, "1").otherwise("0")), "").alias("bits"))
+
+
+@query
+def url_functions(spark, d):
+    p = tables.pins(spark, d, "title", "image_url", "public_id")
+    asset = F.concat(F.lit("https://res.cloudinary.com/demo/image/upload/"), F.coalesce("public_id", F.lit("w_10/a")))
+    return p.select("id", T.content_disposition("title").alias("header"), T.sized_asset_url(asset, 320).alias("sized"), T.sized_asset_url("image_url").alias("other"), T.is_asset_url(asset).alias("is_asset"))
+
+
+@query
+def seed_ages(spark, d):
+    """Times told by ages, in days and in minutes."""
+    p = tables.pins(spark, d, "width").filter("width is not null")
+    return p.select("id", epoch_ms(seed.days_ago(F.col("width") / 16, X.NOW)).alias("days_ms"), epoch_ms(seed.minutes_ago(F.col("width"), X.NOW)).alias("minutes_ms"))
+
+
+@query
+def seed_addresses(spark, d):
+    """The asset's address for one author's uploads, the stored one for others."""
+    p = tables.pins(spark, d, "public_id", "image_url", "author_id").withColumnRenamed("image_url", "fallback_url")
+    uploaded = p.filter((F.col("author_id") == X.AUTHOR) & F.col("public_id").isNotNull())
+    return tables.seed_addresses(p, uploaded, "https://assets.invalid/demo/").select("id", "image_url")
+
+
+@query
+def report_lines(spark, d):
+    """A report of the regions, as its lines."""
+    out = f"{Scratch(spark, 'report').root}/report"
+    sinks.write_report({"Regions": table(spark, d, "region").select("r_regionkey", "r_name").orderBy("r_regionkey")}, out)
+    return spark.read.text(out)
+
+
+@query
+def external_image(spark, d):
+    return image_by_id(normalise(X.hits(spark, d)), "17").select("provider_id", "title", "width")
+
+
 @query
 def external_normalise(spark, d):
     return normalise(X.hits(spark, d)).select("provider_id", "title", "description", F.size("tags").alias("n_tags"), F.col("credit.name").alias("credit"))
@@ -529,33 +667,37 @@ def external_normalise(spark, d):
 
 @query
 def dct_phash(spark, d):
-    return images.perceptual_hashes(X.images(spark, d)).select("id", "phash")
+    return images.perceptual_hashes(X.images(spark, d).select("id", "gray")).select("id", "phash")
 
 
 @query
 def kmeans_palette(spark, d):
-    return images.palettes(X.images(spark, d)).select("id", F.posexplode("palette").alias("pos", "s"), "iterations", F.round("inertia", 6).alias("inertia")).select("id", "pos", "s.*", "iterations", "inertia")
+    found = images.palettes(X.images(spark, d).select("id", "pixels"))
+    return found.select("id", F.posexplode("palette").alias("pos", "s"), "iterations", F.round("inertia", 6).alias("inertia")).select("id", "pos", "s.*", "iterations", "inertia")
 
 
 @query
 def kmeans_stats(spark, d):
     """Palettes by the seeds 1 and 999."""
-    pics = X.images(spark, d)
+    pics = X.images(spark, d).select("id", "pixels")
     return _round(evaluate.kmeans_stats(images.palettes(pics, seed=1), images.palettes(pics, seed=999)), "mean_iterations", "mean_drift", "max_drift")
 
 
 @query
 def analyse_images(spark, d):
-    return images.analyze(X.images(spark, d)).select("id", "phash", F.size("palette").alias("swatches"), "analyzed", "error")
+    """Pictures, of which every seventh has no grey matrix and every eleventh no pixels."""
+    pics = X.images(spark, d).select("id", F.when(F.col("id") % 7 != 0, F.col("gray")).alias("gray"), F.when(F.col("id") % 11 != 0, F.col("pixels")).alias("pixels"))
+    return images.analyze(pics).select("id", "phash", F.col("palette").isNotNull().alias("has_palette"), "analyzed", F.substring("error", 1, 10).alias("error"))
 
 
 @query
 def edited_copies(spark, d):
-    """For each edit, distances of edited pictures to their originals."""
-    pics = X.images(spark, d)
-    originals = images.perceptual_hashes(pics).select(F.col("id").alias("pin_id"), H.hash_bits("phash").alias("oh"))
-    copies = images.edited_hashes(pics).join(originals, "pin_id").withColumn("distance", H.hamming(H.hash_bits("phash"), F.col("oh")))
-    return evaluate.group_stats(copies, "edit")
+    """For each edit, distances of edited pictures to their originals, and whether the hash is made to survive it."""
+    every = Scratch(spark, "edits").save(images.edited_hashes(X.images(spark, d, 96)), "hashes")
+    originals = every.filter("edit = 'original'").select("pin_id", H.hash_bits("phash").alias("oh"))
+    copies = every.filter("edit <> 'original'").join(originals, "pin_id").withColumn("distance", H.hamming(H.hash_bits("phash"), F.col("oh")))
+    scope = every.select("edit", "in_scope").distinct()
+    return evaluate.group_stats(copies, "edit").join(scope, "edit")
 
 
 def _stream(spark, d, make, write=live.append_to):

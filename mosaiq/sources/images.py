@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mosaiq.operators.images import LUMA, resize
 from mosaiq.runtime import ship
 
 MOST_BYTES = 25 * 1024 * 1024
@@ -28,14 +29,6 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("image.origin").alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
 
 
-def _weights(n: int, to: int) -> np.ndarray:
-    """The share of each of n pixels in each of `to` ones."""
-    edge = np.arange(to + 1) * n / to
-    at = np.arange(n)
-    part = np.clip(np.minimum(edge[1:, None], at + 1) - np.maximum(edge[:-1, None], at), 0, None)
-    return part / part.sum(1, keepdims=True)
-
-
 def rgb_array(data: bytes, width: int, height: int, channels: int) -> np.ndarray:
     """height x width x 3 of r, g, b in 0..255; transparency is laid on white, one channel is grey."""
     a = np.frombuffer(data, np.uint8).reshape(height, width, channels).astype(float)
@@ -48,21 +41,17 @@ def rgb_array(data: bytes, width: int, height: int, channels: int) -> np.ndarray
     return colour
 
 
-def resize(a: np.ndarray, width: int, height: int) -> np.ndarray:
-    return np.einsum("yh,hwc,xw->yxc", _weights(a.shape[0], height), a, _weights(a.shape[1], width), optimize=True)
-
-
 def gray_of(data: bytes, width: int, height: int, channels: int) -> list[float]:
     """1,024 grey values of the image stretched to 32 x 32."""
     small = resize(rgb_array(data, width, height, channels), GRAY, GRAY)
-    return np.floor(small @ np.array([0.2126, 0.7152, 0.0722]) + 0.5).ravel().tolist()
+    return np.floor(small @ LUMA + 0.5).ravel().tolist()
 
 
-def samples_of(data: bytes, width: int, height: int, channels: int) -> list[int]:
-    """Flat r, g, b values of the image fitted into 96 x 96, its proportions kept; smaller images stay."""
+def samples_of(data: bytes, width: int, height: int, channels: int) -> bytes:
+    """Flat r, g, b bytes of the image fitted into 96 x 96, its proportions kept; smaller images stay."""
     scale = min(1.0, SAMPLE / max(width, height))
     to = max(1, int(width * scale + 0.5)), max(1, int(height * scale + 0.5))
-    return np.floor(resize(rgb_array(data, width, height, channels), *to) + 0.5).astype(int).ravel().tolist()
+    return np.floor(resize(rgb_array(data, width, height, channels), *to) + 0.5).astype(np.uint8).tobytes()
 
 
 def matrices(images: DataFrame) -> DataFrame:
@@ -70,9 +59,9 @@ def matrices(images: DataFrame) -> DataFrame:
 
     ship(images.sparkSession)
 
-    @F.pandas_udf("gray array<double>, pixels array<int>")
+    @F.pandas_udf("gray array<double>, pixels binary")
     def reduce(data: pd.Series, width: pd.Series, height: pd.Series, channels: pd.Series) -> pd.DataFrame:
         rows = list(zip(data, width, height, channels, strict=True))
         return pd.DataFrame({"gray": [gray_of(*r) for r in rows], "pixels": [samples_of(*r) for r in rows]})
 
-    return images.withColumn("_m", reduce("data", "width", "height", "channels")).select("*", "_m.*").drop("_m", "data")
+    return images.withColumn("_m", reduce.asNondeterministic()("data", "width", "height", "channels")).select("*", "_m.*").drop("_m", "data")

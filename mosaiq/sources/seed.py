@@ -16,7 +16,8 @@ def days_ago(days, now: int):
 
 
 def minutes_ago(minutes, now: int):
-    return F.timestamp_micros((F.lit(now * 1000) - minutes * MINUTE_US).cast("bigint"))
+    """The timestamp that many whole minutes (a column) before `now`."""
+    return F.timestamp_micros((F.lit(now * 1000) - minutes.cast("bigint") * MINUTE_US).cast("bigint"))
 
 
 def seed(spark: SparkSession, pins: Iterable[Mapping], users: Iterable[Mapping], saves: Mapping[str, Iterable[str]], comments: Iterable[Mapping], now: int) -> dict[str, DataFrame]:

@@ -64,7 +64,12 @@ def saved_flags(pins_: DataFrame, saves_: DataFrame, user: str) -> DataFrame:
     return pins_.join(mine, "id", "left").withColumn("saved", F.coalesce("saved", F.lit(False)))
 
 
-def seed_addresses(pins_: DataFrame, manifest: list[str], base: str | None) -> DataFrame:
-    """pins (public_id, fallback_url) with image_url: the asset's address if the manifest has it and there is a base, else the fallback."""
+def seed_addresses(pins_: DataFrame, manifest: list[str] | DataFrame, base: str | None) -> DataFrame:
+    """pins (public_id, fallback_url) with image_url: the asset's address if the manifest (a list, or a table public_id) has it and there is a base, else the fallback."""
+    if isinstance(manifest, DataFrame) and base:
+        known = manifest.select("public_id").distinct().withColumn("_there", F.lit(True))
+        pins_, there = pins_.join(known, "public_id", "left"), F.col("_there").isNotNull()
+        address = F.when(there, F.concat(F.lit(base.rstrip("/") + "/"), "public_id")).otherwise(F.col("fallback_url"))
+        return pins_.withColumn("image_url", address).drop("_there")
     there = F.col("public_id").isin(*manifest) if manifest and base else F.lit(False)
     return pins_.withColumn("image_url", F.when(there, F.concat(F.lit((base or "").rstrip("/") + "/"), "public_id")).otherwise(F.col("fallback_url")))

@@ -22,11 +22,21 @@ def read_comments(spark: SparkSession, path: str, files_per_batch: int | None =
 
 
 def accepted(comments: DataFrame, most: int = 1000) -> DataFrame:
-    """Comments with a body of 1 to 1,000 characters after trimming."""
-    body = F.trim("body")
+    """Comments with a body of 1 to 1,000 characters after trimming of white space."""
+    body = F.regexp_replace("body", r"(?U)^\s+|\s+$", "")
     return comments.filter(F.length(body).between(1, most)).withColumn("body", body)
 
 
+def new_comments(rows: DataFrame) -> DataFrame:
+    """Stored comments from what was typed (pin_id, body, author, author_id), a batch or a stream; those that `accepted` refuses are left out.
+
+    An id is the microseconds now and a random number, both in hexadecimal, as one number of 63 bits; the time is now.
+    """
+    now = F.current_timestamp()
+    made = F.shiftleft(F.unix_micros(now).bitwiseAND((1 << 43) - 1), 20).bitwiseOR(F.floor(F.rand() * (1 << 20)).cast("bigint"))
+    return accepted(rows).select(made.alias("id"), "pin_id", "body", "author", "author_id", now.alias("created_at"))
+
+
 def live_thread(comments: DataFrame, pin_id: str, late: str = "30 days") -> DataFrame:
     """A pin's comments, each id once within the time that comments may be late; state is kept no longer than that."""
     return comments.filter(F.col("pin_id") == pin_id).withWatermark("created_at", late).dropDuplicatesWithinWatermark(["id"])

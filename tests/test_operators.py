@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mosaiq.operators import colors, dashboard, duplicates, evaluate, feed, images, paging, popularity, recommend, skew, store, topics
-from mosaiq.operators.filters import every, matches, validate, visible_to
+from mosaiq.operators.filters import every, form_errors, matches, validate, visible_to
 from mosaiq.runtime import Scratch, dense_ids
 from mosaiq.sources import external, images as image_files, sinks, tables
 
@@ -142,12 +142,18 @@ def test_hybrid_without_savers_gives_their_weight_to_content(spark):
     assert recommend.related(pins.limit(0), none, 1, now=0).count() == 0
 
 
+def test_ranker_of_the_session(spark):
+    assert recommend.ranker(None, "content") is recommend.RANKERS["content"] and recommend.ranker(None, "x") is recommend.RANKERS["hybrid"]
+
+
 def test_popularity(spark):
     pins = spark.createDataFrame([(1, T0), (2, T0), (3, T0)], "id int, created_at timestamp")
     saves = spark.createDataFrame(SAVES, "user_id string, pin_id int")
     comments = spark.createDataFrame([(1,), (1,), (1,), (2,)], "pin_id int")
     rows = popularity.rank_by_popularity(pins, saves, comments).orderBy("rank").collect()
-    assert [(r.rank, r.id, r.score) for r in rows] == [(1, 1, 15), (2, 3, 3), (3, 2, 1)]
+    assert [(r["rank"], r.id, r.score) for r in rows] == [(1, 1, 15), (2, 3, 3), (3, 2, 1)]
+    limited = popularity.rank_by_popularity(pins, saves, comments, limit=2).orderBy("rank").collect()
+    assert [(r["rank"], r.id) for r in limited] == [(1, 1), (2, 3)]
 
 
 def test_topics_bounds(spark):
@@ -234,7 +240,7 @@ def test_failed_images_are_told(spark):
 def test_image_files(spark, tmp_path):
     a = np.zeros((4, 8, 3), np.uint8)
     a[:, 4:] = (10, 20, 200)
-    assert image_files.samples_of(a.tobytes(), 8, 4, 3)[-3:] == [200, 20, 10]
+    assert image_files.samples_of(a.tobytes(), 8, 4, 3)[-3:] == bytes([200, 20, 10])
     assert len(image_files.gray_of(a.tobytes(), 8, 4, 3)) == 1024
     assert len(image_files.samples_of(np.zeros((100, 200, 3), np.uint8).tobytes(), 200, 100, 3)) == 96 * 48 * 3
     (tmp_path / "x.bin").write_bytes(b"123")
@@ -262,7 +268,7 @@ def test_feed_ends(spark):
         keys += [r.key for r in rows.collect()]
         if cursor is None:
             break
-    assert keys[:6] == [f"pin:{i}" for i in ("p007", "p006", "p004", "p003", "p001", "p000")] and keys[6:] == ["px:5", "px:6", "px:7", "px:5"]
+    assert keys[:3] == [f"pin:{i}" for i in ("p007", "p004", "p001")] and keys[3:] == ["px:5", "px:6", "px:7", "px:5"]
     assert feed.feed_items(pins, found).filter("phase = 1").count() == 3
 
 
@@ -353,6 +359,189 @@ def test_daily_comments_of_a_stream_are_those_of_the_table(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_a_missing_visibility_is_not_public(spark):
+    pins = spark.createDataFrame([("a", "x", None), ("b", "x", "private"), ("c", "y", "public"), ("d", None, None), ("e", "y", "PUBLIC")], "id string, author_id string, visibility string")
+    seen = lambda v: sorted(r.id for r in pins.filter(visible_to(v)).collect())
+    assert seen(None) == seen("") == ["c"] and seen("x") == ["a", "b", "c"] and seen("y") == ["c", "e"]
+    assert sorted(r.id for r in store.backfill_visibility(pins).filter(visible_to()).collect()) == ["a", "c", "d"]
+
+
+def test_board_sorts_the_newest(spark):
+    rows = [(f"p{i}", t, T0 + timedelta(hours=h), "me", "private" if i % 2 else None) for i, (t, h) in enumerate([("b", 1), ("a", 2), ("B", 3), ("a", 3), ("old", 0)])]
+    pins = spark.createDataFrame([*rows, ("q", "z", T0, "other", "public")], "id string, title string, created_at timestamp, author_id string, visibility string")
+    order = lambda sort: [r.id for r in store.board(pins, "me", sort, 4).collect()]
+    assert order("newest") == order("?") == ["p3", "p2", "p1", "p0"] and order("oldest") == ["p0", "p1", "p2", "p3"] and order("title") == ["p3", "p1", "p0", "p2"]
+    assert store.private_count(pins, "me", 4).first().private_pins == 2 and store.private_count(pins.limit(0), "me").first().private_pins == 0
+
+
+def test_created_pins(spark):
+    stored = spark.createDataFrame([("me", "pix", "1"), ("you", "pix", "2"), ("me", None, "3")], "author_id string, provider string, provider_id string")
+    kind = "title string, image_url string, author_id string, provider string, provider_id string, public_id string, source string, visibility string, tags array<string>"
+    new = [("Dune", "u", "me", "pix", "1", None, None, None, None), ("Dune", "u", "me", "pix", "2", "x", None, None, []), ("Dune", "v", "me", "pix", "2", "", None, None, ["a"]), ("!", "u", "me", None, None, "", "seed", "private", ["t"]), ("Ö", "u", "me", None, "3", None, None, None, None)]
+    out = store.create_pins(stored, spark.createDataFrame(new, kind), now=1000, suffix=F.lit("abc123"))
+    got = sorted((r.id, r.image_url, r.source, r.visibility, r.tags, r.created_at.timestamp()) for r in out["created"].collect())
+    assert got == [("dune-abc123", "u", "upload", "public", None, 1.0), ("pin-abc123", "u", "seed", "private", ["t"], 1.0)]
+    assert sorted((r.title, r.image_url) for r in out["already_saved"].collect()) == [("Dune", "u"), ("Dune", "v"), ("Ö", "u")]
+    ids = {r.id for r in store.create_pins(stored.limit(0), spark.createDataFrame(new[:3], kind), now=0)["created"].collect()}
+    assert len(ids) == 2 and all(len(i) == 11 for i in ids)
+
+
+def test_forgotten_pins(spark):
+    comments = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None)], "id int, pin_id string")
+    out = store.forget_pins(comments, spark.createDataFrame([("a",), ("a",), ("z",), (None,)], "id string"))
+    assert sorted(r.id for r in out["left"].collect()) == [3, 4] and sorted(tuple(r) for r in out["removed"].collect()) == [("a", 2), ("z", 0)]
+
+
+def test_analysis_within_a_request_and_after_it(spark):
+    swatch = images.SWATCH
+    pins = spark.createDataFrame([(i, None, None, None, None) for i in "abc"], f"id string, phash string, palette {swatch}, color_families array<string>, analyzed_at timestamp")
+    found = spark.createDataFrame([("a", "0" * 16, [(255, 0, 0, "#ff0000", 1.0)], True, T0), ("b", None, None, False, T0)], f"id string, phash string, palette {swatch}, analyzed boolean, analyzed_at timestamp")
+    at = lambda df: {r.id: (r.phash, r.color_families, r.analyzed_at) for r in df.collect()}
+    assert at(store.store_analysis(pins, found)) == {"a": ("0" * 16, ["red"], T0), "b": (None, None, None), "c": (None, None, None)}
+    assert at(store.set_analysis(pins, found))["b"] == (None, None, T0)
+
+
+def test_rules_of_palettes_and_forms(spark):
+    rows = [(1, "pixabay", [(0, 255, 3, "#00ff03", 0.5)]), (2, "other", [(0, 256, 3, "#00ff03", 0.5)]), (3, None, [(0, 1, 3, "#00FF03", 0.5)]), (4, None, [(0, 1, 3, "#00ff03", 1.5)] * 13), (5, None, None), (6, None, [(None, 1, 3, "#00ff03", 0.5)])]
+    got = {r.id: r.broken for r in validate(spark.createDataFrame(rows, f"id int, provider string, palette {images.SWATCH}")).collect()}
+    assert got == {1: [], 2: ["provider_known", "palette_colors"], 3: ["palette_colors"], 4: ["palette_size", "palette_colors"], 5: [], 6: ["palette_colors"]}
+    forms = [("t", "d" * 500, None, None), ("t" * 121, "d" * 501, "image/png", 5), (" ", None, "image/bmp", 5), ("x", None, "image/png", 11 << 20), (None, None, None, None)]
+    got = [r.errors for r in form_errors(spark.createDataFrame(forms, "title string, description string, mime string, size long")).collect()]
+    assert got == [[], ["title", "description"], ["title", "mime"], ["mime"], ["title"]]
+
+
+def test_images_are_analysed_once(spark):
+    from mosaiq.plans.queries import QUERIES
+
+    plan = QUERIES["kmeans_palette"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("cluster(") == 1 and plan.count("draw(") == 1
+
+
+def test_edits():
+    a = np.random.default_rng(4).uniform(0, 255, (40, 56, 3))
+    every = images.edits()
+    assert len(every) == 16 and [n for n, (_, ok) in every.items() if not ok] == ["rotate 90°", "flip horizontal"]
+    done = {n: f(a) for n, (f, _) in every.items()}
+    assert all(x.min() >= 0 and x.max() <= 255 and x.shape[2] == 3 for x in done.values())
+    assert done["resize to 25%"].shape[:2] == (10, 14) and done["resize to 150%"].shape[:2] == (60, 84) and done["crop 15%"].shape[:2] == (34, 48) and done["rotate 90°"].shape[:2] == (56, 40)
+    flat = np.full((24, 24, 3), 77.0)
+    assert all(np.abs(every[n][0](flat) - 77).max() < 8 for n in ("re-encode JPEG q15", "blur", "sharpen", "saturation +50%", "greyscale"))
+    assert np.abs(images._quantised(a, 95) - a).mean() < np.abs(done["re-encode JPEG q15"] - a).mean()
+    assert np.abs(every["blur"][0](a).mean() - a.mean()) < 4 and np.array_equal(a, every["convert to PNG"][0](a))
+
+
+def test_hashes_of_a_batch_are_those_of_each():
+    rng = np.random.default_rng(5)
+    grays = [rng.uniform(0, 255, 1024), None, [1.0], rng.uniform(0, 255, 1024), [float("nan")] * 1024]
+    got = images.hashes_of(grays)
+    assert got == [images.hash_of(g) for g in grays] and got[1:3] == [None, None] and got[4] is None
+    block = images.dct2d(grays[0].reshape(32, 32))[:8, :8].ravel()
+    assert got[0] == f"{int(''.join('01'[int(b)] for b in block > np.median(block[1:])), 2):016x}"
+
+
+def png(a):
+    """A picture as the bytes of a file."""
+    import struct
+    import zlib
+
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    raw = b"".join(b"\0" + row.tobytes() for row in a)
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", a.shape[1], a.shape[0], 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b"")
+
+
+def test_files_to_palettes(spark, tmp_path):
+    a = np.zeros((48, 96, 3), np.uint8)
+    a[:, 48:] = (200, 20, 10)
+    (tmp_path / "a.png").write_bytes(png(a))
+    (tmp_path / "b.png").write_bytes(b"no picture")
+    rows = image_files.matrices(image_files.read_images(spark, str(tmp_path)))
+    files = image_files.read_bytes(spark, str(tmp_path)).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+    rows = rows.withColumn("name", F.element_at(F.split("path", "/"), -1)).join(files, "name")
+    r = images.analyze(rows, k=2, content="content").collect()
+    assert [(x.name, x.width, x.height, len(x.phash), [s.hex for s in x.palette], x.error) for x in r] == [("a.png", 96, 48, 16, ["#000000", "#c8140a"], None)]
+
+
+def test_scratch_is_closed_and_needs_a_shared_folder(spark, tmp_path):
+    from pathlib import Path
+
+    from mosaiq import runtime
+
+    with Scratch(spark, "t") as s:
+        s.save(spark.range(3), "x")
+        s.part("inner").save(spark.range(3), "y")
+        at = Path(s.root.removeprefix("file:").replace("//", "/"))
+        assert at.exists()
+    assert not at.exists()
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda k, d: d)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+            class _jsc:
+                sc = staticmethod(lambda: Cluster.none)
+
+        class none:
+            getCheckpointDir = staticmethod(lambda: Cluster.empty)
+
+        class empty:
+            isDefined = staticmethod(lambda: False)
+
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        runtime.shared_dir(Cluster)
+
+
+def test_hot_keys_are_fewer_than_partitions():
+    assert skew.hot_limit(10**12, 10**5, 100_000) == 10**7 and skew.hot_limit(1000, 8, 100_000) == 100_000
+
+
+def test_equal_rows_of_a_hot_key_are_cut(spark):
+    left = Scratch(spark, "t").save(spark.createDataFrame([(0, 1)] * 600 + [(i, 2) for i in range(1, 30)], "k int, x int").repartition(3), "l")
+    right = spark.createDataFrame([(k, k) for k in range(30)], "k int, y int")
+    out = skew.skew_join(left, right, ["k"], unique=True, least=10)
+    assert out.count() == 629 and "_bl" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_bands_suit_the_number_of_hashes():
+    for t in range(25):
+        for n in (1, 10_000, 10**8):
+            plan = duplicates._band_plan(t, n)
+            assert sum(w for _, w, _ in plan) == 64 and sum(r + 1 for _, _, r in plan) >= min(64, t + 1)
+    assert len(duplicates._band_plan(10, 10**3)) > len(duplicates._band_plan(10, 10**7))
+
+
+def test_comments_are_made(spark):
+    from mosaiq.streaming import comments as live
+
+    typed = spark.createDataFrame([("p", " hi ", "n", "a"), ("p", " \t", "n", "a"), ("p", "x" * 1001, "n", "a"), ("p", None, "n", "a")], "pin_id string, body string, author string, author_id string")
+    made = live.new_comments(typed)
+    assert made.schema.simpleString() == spark.createDataFrame([], live.SCHEMA).schema.simpleString() and [r.body for r in made.collect()] == ["hi"]
+
+
+def test_cursors_as_columns(spark):
+    df = spark.createDataFrame([(i, T0 + timedelta(milliseconds=n)) for n, i in enumerate(["a", "a.b", "é?>", "x" * 90])], "id string, created_at timestamp")
+    rows = paging.read_cursors(paging.cursors(df)).collect()
+    for r in rows:
+        assert paging.decode_cursor(r.cursor) == (r.cursor_ms, r.cursor_id) == (int(r.created_at.timestamp() * 1000 + 0.5), r.id)
+        assert r.cursor == paging.encode_cursor(r.cursor_ms, r.cursor_id)
+    bad = spark.createDataFrame([("?",), (None,), ("",), ("QQ",), ("LmE",)], "cursor string")
+    assert all(r.cursor_ms is None and r.cursor_id is None for r in paging.read_cursors(bad).collect())
+
+
+def test_a_dry_topic_is_passed_over(spark):
+    pins = make_pins(spark, 0 + 1).limit(0)
+    found = spark.createDataFrame([(4, 1, 1, 7), (4, 3, 1, 8), (6, 1, 1, 9)], "topic int, page int, place int, id int")
+    keys, cursor = [], None
+    while True:
+        rows, cursor = feed.feed_page(pins, found, cursor, 4, topics=8)
+        keys.append([r.key for r in rows.collect()])
+        if cursor is None:
+            break
+    assert [k for k in keys if k] == [["px:7"], ["px:9"]]
+
+
 def test_the_library_stands_without_the_optional_package():
     from pathlib import Path
 

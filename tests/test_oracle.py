@@ -19,16 +19,6 @@ def test_runs(spark, name):
     assert rows.columns and rows.collect() is not None
 
 
-def test_all_that_overlap(spark):
-    """Beyond the first 100 of tag_overlap_related as well."""
-    sql = SQL["tag_overlap_related"]
-    assert sql.endswith(" ORDER BY score DESC, id LIMIT 100")
-    for folder in (FOLDER, "/root/testdata/sf0.01"):
-        want = oracle_rows(sql.removesuffix(" ORDER BY score DESC, id LIMIT 100"), folder)
-        assert rows_of(QUERIES["tag_overlap_all"](spark, folder)) == want
-    assert len(want) > 100
-
-
 def test_entry(spark):
     import __spark_entry__
 
