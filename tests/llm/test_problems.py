@@ -200,63 +200,139 @@ def test_repeats_against_brute_force(spark, hot, seed):
     assert got == brute_repeats(old, new) and 10 < len(got) < 110
 
 
-def test_batches_give_what_one_batch_gives(spark):
+def picked(spark, rows):
     from pyspark.sql import functions as F
 
     from mosaiq.llm.history import valid_hash
-    from mosaiq.runtime import Scratch
 
-    rng = random.Random(9)
-    old, new = history_rows(rng, 20, "a"), history_rows(rng, 60, "b")
-    pick = lambda rows: spark.createDataFrame(rows, SCHEMA).select("arrival_id", valid_hash("phash").alias("hash"), "author_id", "created_at")
-    past, cases = History(Scratch(spark, "h")), []
-    past.append(pick(old))
-    for i in range(0, 60, 20):
-        checked = past.check(pick(new[i : i + 20]))
-        cases += [r.arrival_id for r in checked.filter("repeats").collect()]
-        past.append(checked.filter(~F.col("repeats")))
-    assert sorted(cases) == brute_repeats(old, new)
+    return spark.createDataFrame(rows, SCHEMA).select("arrival_id", valid_hash("phash").alias("hash"), F.col("author_id"), F.col("created_at"))
 
 
 def test_a_history_is_opened_again(spark, tmp_path):
-    """Batches checked by a History each, opened at one path: same cases, and earlier files stay as they are."""
-    from pyspark.sql import functions as F
-
-    from mosaiq.llm.history import valid_hash
+    """Batches checked by a History each, opened at one path, small segments merged: same cases, and files never change."""
     from mosaiq.runtime import Scratch
 
     rng = random.Random(12)
     old, new = history_rows(rng, 20, "a"), history_rows(rng, 40, "b")
-    pick = lambda rows: spark.createDataFrame(rows, SCHEMA).select("arrival_id", valid_hash("phash").alias("hash"), "author_id", "created_at")
-    path, cases, before = str(tmp_path / "history"), [], {}
-    assert not History(Scratch(spark, "h"), path=path).check(pick(old[:1])).filter("repeats").collect()
-    History(Scratch(spark, "h"), path=path).append(pick(old))
+    path, cases, seen = str(tmp_path / "history"), [], {}
+    assert not History(Scratch(spark, "h"), path=path).check(picked(spark, old[:1])).filter("repeats").collect()
+    History(Scratch(spark, "h"), path=path).append(picked(spark, old))
     for i in range(0, 40, 20):
         past = History(Scratch(spark, "h"), path=path)
-        checked = past.check(pick(new[i : i + 20]))
+        checked = past.check(picked(spark, new[i : i + 20]))
         cases += [r.arrival_id for r in checked.filter("repeats").collect()]
-        past.append(checked.filter(~F.col("repeats")))
+        past.append(checked.filter("not repeats"))
         now = {p: p.stat().st_mtime_ns for p in (tmp_path / "history").rglob("*.parquet")}
-        assert before.items() < now.items()
-        before = now
+        assert now and all(seen.get(p, t) == t for p, t in now.items())
+        seen |= now
     assert sorted(cases) == brute_repeats(old, new)
+    assert len(History(Scratch(spark, "h"), path=path).segments) == 1
     with pytest.raises(ValueError, match="limit"):
         History(Scratch(spark, "h"), 9, path)
 
 
-def test_a_small_batch_reads_a_part_of_the_table(spark):
-    from mosaiq.llm.history import PivotTable
+def test_another_process_opens_the_history(spark, tmp_path):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    rng = random.Random(14)
+    old, new = history_rows(rng, 30, "a"), history_rows(rng, 30, "b")
+    path = str(tmp_path / "history")
+    code = f"""
+import sys; sys.path.insert(0, {str(Path(__file__).resolve().parents[2])!r})
+import datetime
+from pyspark.sql import functions as F
+from mosaiq.llm.history import History, valid_hash
+from mosaiq.runtime import Scratch, local_session
+spark = local_session(2, 2, "1g")
+rows = spark.createDataFrame({old!r}, {SCHEMA!r})
+History(Scratch(spark, "h"), path={path!r}).append(rows.select(valid_hash("phash").alias("hash"), "author_id", "created_at"))
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+    got = repeated_arrivals(spark.createDataFrame([], SCHEMA), spark.createDataFrame(new, SCHEMA), path=path)
+    assert sorted(r.arrival_id for r in got.collect()) == brute_repeats(old, new)
+
+
+def test_batches_by_their_column(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(15)
+    old, new = history_rows(rng, 20, "a"), history_rows(rng, 60, "b")
+    arrivals = spark.createDataFrame(new, SCHEMA).withColumn("batch_id", F.floor(F.col("arrival_id") / 20))
+    got = repeated_arrivals(spark.createDataFrame(old, SCHEMA), arrivals, batch="batch_id")
+    assert sorted(r.arrival_id for r in got.collect()) == brute_repeats(old, new)
+
+
+@pytest.mark.parametrize("few", [0, 250_000])
+def test_a_batch_neither_moves_nor_writes_history(spark, monkeypatch, few):
+    """Whether its probes are sent to all tasks or to the buckets; what a batch writes doesn't grow with history."""
+    from pathlib import Path
+
+    from mosaiq.llm import history
+    from mosaiq.runtime import Scratch
+
+    monkeypatch.setattr(history, "BROADCAST_PROBES", few)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    rng, written = random.Random(13), []
+    batch = picked(spark, history_rows(rng, 20, "b"))
+    for n in (200, 2000):
+        s = Scratch(spark, "h")
+        past = History(s)
+        past.append(picked(spark, [(i, f"{rng.getrandbits(64):016x}", f"a{i}", datetime(2024, 1, 1)) for i in range(n)]))
+        hashes = s.save(batch.filter("hash is not null").select("hash").distinct(), "hashes")
+        plan = past.near(hashes)._jdf.queryExecution().executedPlan().toString().split("HashAggregate")[-1]
+        before = plan.split("FileScan parquet spark_catalog")[0]
+        assert "BroadcastHashJoin" in before if few else "SortMergeJoin" in before and "Bucketed: true" in plan
+        assert "Exchange" not in before.split("Join")[-1]
+        root = Path(s.root.removeprefix("file:").replace("//", "/"))
+        old = {p for p in root.rglob("*.parquet")}
+        past.check(batch).count()
+        written.append(sum(p.stat().st_size for p in set(root.rglob("*.parquet")) - old))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert written[1] < 1.3 * written[0]
+
+
+def test_few_keys_read_their_buckets_only(spark):
     from mosaiq.runtime import Scratch
 
-    rng = random.Random(13)
-    hashes = [rng.getrandbits(64) - (1 << 63) for _ in range(500)]
-    probe = hashes[0] ^ 0b1011
-    table = PivotTable(Scratch(spark, "t"))
-    table.append(spark.createDataFrame([(h,) for h in hashes], "hash long"))
-    one = spark.createDataFrame([(probe,)], "hash long")
-    assert 0 < table.within(table._cells(one, "probe", True)).count() < 0.5 * table.rows.count()
-    got = {r.hash for r in table.near(one, "x").collect()}
-    assert got == {h for h in hashes if ((h ^ probe) & (2**64 - 1)).bit_count() <= 10} and hashes[0] in got
+    s = Scratch(spark, "h")
+    past = History(s)
+    past.append(picked(spark, [(i, None, f"a{i}", datetime(2024, 1, 1)) for i in range(300)]))
+    keys = s.save(picked(spark, [(1, None, "a7", datetime(2024, 1, 1)), (2, None, "a8", datetime(2025, 1, 1))]).select("author_id", "created_at"), "keys")
+    assert [r.author_id for r in past.known(keys).collect()] == ["a7"]
+    assert "SelectedBucketsCount: " in past.known(keys)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_crowded_cells_against_brute_force(spark, monkeypatch):
+    """Half of all hashes are variants of one picture: their cells are joined in blocks, after some of their hashes were tried."""
+    from mosaiq.llm import history
+
+    for name, value in (("BROADCAST_PROBES", 0), ("HOT_ROWS", 20), ("TRIED", 4)):
+        monkeypatch.setattr(history, name, value)
+    rng, base = random.Random(16), random.Random(17).getrandbits(64)
+
+    def rows(n):
+        out = []
+        for i in range(n):
+            h = base if i % 2 else rng.getrandbits(64)
+            for _ in range(rng.randrange(8)):
+                h ^= 1 << rng.randrange(64)
+            out.append((i, f"{h:016x}", None, None))
+        return out
+
+    old, new = rows(300), rows(80)
+    got = repeated_arrivals(spark.createDataFrame(old, SCHEMA), spark.createDataFrame(new, SCHEMA))
+    assert sorted(r.arrival_id for r in got.collect()) == brute_repeats(old, new)
+
+
+def test_bands_widen_with_history():
+    from mosaiq.llm.history import band_count
+
+    counts = [band_count(10, 10**k) for k in (3, 5, 7, 9)]
+    assert counts == sorted(counts, reverse=True) and counts[0] > counts[-1]
 
 
 def test_empty_history_and_nulls(spark):
