@@ -87,7 +87,7 @@ def cells(hashes: DataFrame, name: str, plan: list[Band], around: bool) -> DataF
         key = cell.bitwiseOR(F.lit(band << BAND_SHIFT)) if len(plan) > 1 else cell
         flips = [sum(1 << i for i in bits) for r in range(radius + 1) for bits in combinations(range(width), r)] if around else [0]
         each.append(F.transform(F.array(*[F.lit(x).cast("long") for x in flips]), key.bitwiseXOR))
-    return hashes.select(F.col("hash").alias(name), F.explode(F.concat(*each)).alias("at"))
+    return hashes.select("hash", F.explode(F.concat(*each)).alias("at")).select(F.col("hash").alias(name), "at")
 
 
 def probes_for(s: Scratch, hashes: DataFrame, plan: list[Band], name: str) -> DataFrame:

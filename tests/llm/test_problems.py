@@ -328,6 +328,17 @@ def test_crowded_cells_against_brute_force(spark, monkeypatch):
     assert sorted(r.arrival_id for r in got.collect()) == brute_repeats(old, new)
 
 
+def test_cells_are_those_of_each_hash(spark):
+    from mosaiq.llm.history import bands, cells, probes_of
+
+    plan, h = bands(10, 5), 0x0123456789ABCDEF
+    df = spark.createDataFrame([(h,), (-1,)], "hash bigint")
+    own = {r["at"] for r in cells(df, "x", plan, False).collect() if r.x == h}
+    assert own == {(band << 58) | (h >> shift) & ((1 << width) - 1) for band, (shift, width, _) in enumerate(plan)}
+    around = [r["at"] for r in cells(df, "probe", plan, True).collect() if r.probe == h]
+    assert len(around) == len(set(around)) == probes_of(plan) and own < set(around)
+
+
 def test_bands_widen_with_history():
     from mosaiq.llm.history import band_count
 
