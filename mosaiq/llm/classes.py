@@ -1,4 +1,4 @@
-"""From pairs of classes to pairs of their members."""
+"""From pairs of classes of equal records to pairs of their members."""
 
 from __future__ import annotations
 
@@ -12,11 +12,9 @@ from mosaiq.runtime import Scratch
 def member_pairs(s: Scratch, pairs: DataFrame, members: DataFrame, a: str, b: str) -> DataFrame:
     """(a, b), a < b, for every two members of each pair of classes; a pair (c, c) gives the pairs within c.
 
-    pairs: (ca, cb), each unordered pair once. members: (id, c), each id once. The work is that of the result: a class
-    meets another only if they are a pair, and classes with many members are cut into blocks by skew_join.
+    pairs: (ca, cb), each unordered pair once. members: (id, c), each id once; both tables. The work is that of the
+    result: a class meets another only if they are a pair, and classes with many members are cut into blocks.
     """
-    pairs = s.save(pairs, "pairs-of-classes")
-    members = s.save(members.join(pairs.select(F.explode(F.array("ca", "cb")).alias("c")).distinct(), "c", "left_semi"), "paired-members")
     left = members.select(F.col("c").alias("ca"), F.col("id").alias("x"))
     right = members.select(F.col("c").alias("cb"), F.col("id").alias("y"))
     half = s.save(skew_join(pairs, left, ["ca"]), "pairs-half")

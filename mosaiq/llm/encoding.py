@@ -10,6 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +27,8 @@ WINDOW = 16
 #: A cut where 9 bits of the rolling hash are zero: chunks of about half a kilobyte.
 CUT_BITS = 9
 LEAST_BYTES = 64
-#: References to one chunk that a task makes before it sends the chunk's text again under the next number.
-PER_COPY = 256
+#: A task's first uses of a chunk go where those of all tasks go; further ones to copies of the task's own, of so many uses.
+SHARED_USES, PER_COPY = 4, 256
 
 
 class Codec:
@@ -167,8 +168,10 @@ def cut_points(data: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
 
 
 def to_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each chunk of each text (id, text as binary); its text only for the task's first and each PER_COPY-th use."""
+    """A row for each chunk of each text (id, text as binary); its text only for the task's first use and for each copy's."""
     seen: dict[bytes, int] = {}
+    context = TaskContext.get()
+    task = (context.partitionId() if context else 0) << 32
     for batch in batches:
         column = batch.column(1)
         data, starts = np.frombuffer(column.buffers()[2] or b"", np.uint8), np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
@@ -183,13 +186,14 @@ def to_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n = seen.get(key, 0)
                 seen[key] = n + 1
                 keys.append(key)
-                copies.append(n // PER_COPY)
+                own = n - SHARED_USES
+                copies.append(0 if own < 0 else task + 1 + own // PER_COPY)
                 source.append(row)
                 revisions.append(revision)
                 places.append(i)
-                texts.append(None if n % PER_COPY else text)
+                texts.append(text if n == 0 or own >= 0 and own % PER_COPY == 0 else None)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.binary()), pa.array(copies, pa.int32()), batch.column(0).take(pa.array(source, pa.int64())), pa.array(revisions, pa.binary()), pa.array(places, pa.int32()), pa.array(texts, pa.binary())],
+            [pa.array(keys, pa.binary()), pa.array(copies, pa.int64()), batch.column(0).take(pa.array(source, pa.int64())), pa.array(revisions, pa.binary()), pa.array(places, pa.int32()), pa.array(texts, pa.binary())],
             names=["key", "copy", "id", "revision", "place", "text"],
         )
 
@@ -257,8 +261,9 @@ def encoded(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Texts are cut where a rolling hash of their content says so; chunks are known by a 128-bit digest. Each task sends a
     chunk's text once, and a number of references; sorted by chunk, the first row of each brings the text, which is
-    encoded once and its ids handed to all references. A chunk that is used very often is sent again under a new copy
-    number for every PER_COPY uses of a task, which spreads it over the tasks. References come together by document, and
+    encoded once and its ids handed to all references. A chunk that a task uses more than SHARED_USES times is sent again
+    for every PER_COPY further uses, under a number of the task's own, so that however many tasks there are no key
+    gathers more than SHARED_USES rows of each. References come together by document, and
     the joints of chunks are repaired until the ids are those of the whole text. Ids are shuffled as two bytes each where
     the vocabulary allows.
     """
@@ -267,7 +272,7 @@ def encoded(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind, lists = documents.schema[id_col].dataType.simpleString(), "n_tokens bigint" if count_only else "ids array<int>"
     rows = documents.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     full = F.coalesce(F.octet_length("text"), F.lit(0)) > 0
-    chunks = rows.filter(full).mapInArrow(to_chunks, f"key binary, copy int, id {kind}, revision binary, place int, text binary")
+    chunks = rows.filter(full).mapInArrow(to_chunks, f"key binary, copy bigint, id {kind}, revision binary, place int, text binary")
     chunks = chunks.repartition("key", "copy").sortWithinPartitions("key", "copy", F.col("text").isNull())
     parts = chunks.mapInArrow(encoder(path), f"id {kind}, revision binary, place int, ids binary")
     parts = parts.repartition("id", "revision").sortWithinPartitions("id", "revision", "place")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mosaiq.llm.classes import member_pairs
-from mosaiq.operators.skew import skew_join
+from mosaiq.operators.skew import HOT_ROWS, skew_join
 from mosaiq.runtime import Scratch, dense_ids
 
 #: Up to this size every set size is its own size class; above, eight classes a doubling.
@@ -27,35 +27,60 @@ def _least_size(c: Column) -> Column:
     return F.when(c <= FINE, c).otherwise(F.ceil(FINE * F.pow(F.lit(2.0), (c - FINE) / F.lit(8.0)) - F.lit(1e-6))).cast("int")
 
 
+def ranked_sets(s: Scratch, classes: DataFrame) -> tuple[DataFrame, int]:
+    """(c, r, n, sig) of classes (c, items): the items' ranks, rarest first, their number and a signature of 64 bits; and the most sets that an item is in.
+
+    Bit rank % 64 of the signature is set for each item. An item of one set whose bit isn't set in another's signature isn't
+    in that other set.
+    """
+    rows = classes.select("c", F.explode("items").alias("item"))
+    order = dense_ids(s, rows.groupBy("item").agg(F.count(F.lit(1)).alias("df")), ["df", "item"], "rarity", "rank")
+    order = s.save(order.select("item", "rank", "df"), "ranks")
+    top = order.agg(F.max("df")).first()[0] or 0
+    ranks = order.select("item", "rank")
+    ranked = rows.join(ranks, "item") if top <= HOT_ROWS else skew_join(s.save(rows, "items"), ranks, ["item"], unique=True)
+    bit = F.expr("shiftleft(1L, cast(rank % 64 as int))")
+    ranked = ranked.groupBy("c").agg(F.sort_array(F.collect_list("rank")).alias("r"), F.bit_or(bit).alias("sig"))
+    ranked = s.save(ranked.withColumn("n", F.size("r")), "ranked")
+    s.drop("rarity", "ranks", "items")
+    return ranked, top
+
+
 def similar_classes(s: Scratch, classes: DataFrame, threshold: Fraction) -> DataFrame:
     """(ca, cb) for the pairs of distinct sets whose intersection is at least threshold of their union.
 
-    classes: (c, items), each set once, items distinct and without nulls. Sets are sorted by rarity of their items.
-    Sets of sizes n >= m reach the threshold p/q only with an overlap of o = ceil(p(n+m) / (p+q)); two such sets share an
-    item among the first n-o+1 of the one and m-o+1 of the other. So a set is indexed, for each size a partner may have
-    (length filter), under just so many of its rarest items, and meets only partners of that size at fitting positions:
-    length and positional filter are part of the join key (item, size, size) and cost no comparison. Hits are made
-    distinct and their overlap counted. The partner's sizes above FINE are grouped, with bounds that hold for the group; in
-    a set's own group partners may be smaller than it on either side of the join.
+    classes: (c, items), each set once, items distinct and without nulls; a table. Sets are sorted by rarity of their
+    items. Sets of sizes n >= m reach the threshold p/q only with an overlap of o = ceil(p(n+m) / (p+q)); two such sets
+    share an item among the first n-o+1 of the one and m-o+1 of the other. So a set is indexed, for each size a partner may
+    have (length filter), under just so many of its rarest items, and meets only partners of that size at fitting
+    positions: length and positional filter are part of the join key (item, size, size) and cost no comparison. The
+    partner's sizes above FINE are grouped, with bounds that hold for the group; in a set's own group partners may be
+    smaller than it on either side of the join. A pair found is dropped at once if the sets' signatures show too many
+    items of one that the other lacks; the rest is made distinct and its overlap counted.
     """
     p, q = threshold.numerator, threshold.denominator
-    rows = s.save(classes.select("c", F.explode("items").alias("item")), "items")
-    order = dense_ids(s, rows.groupBy("item").agg(F.count(F.lit(1)).alias("df")), ["df", "item"], "rarity", "rank")
-    ranked = skew_join(rows, s.save(order.select("item", "rank"), "ranks"), ["item"], unique=True)
-    ranked = s.save(ranked.groupBy("c").agg(F.sort_array(F.collect_list("rank")).alias("r")).withColumn("n", F.size("r")), "ranked")
-
+    ranked, top = ranked_sets(s, classes)
     n, k = F.col("n"), F.col("k")
-    probe = ranked.withColumn("k", F.explode(F.sequence(_size_class(_ceil(n * p, q)), _size_class(n))))
-    least = F.greatest(_least_size(k), _ceil(n * p, q))
-    probe = probe.select("c", _size_class(n).alias("kn"), k.alias("km"), F.explode(F.slice("r", F.lit(1), F.greatest(F.lit(0), n - _ceil(p * (n + least), p + q) + 1))).alias("rank"))
-    index = ranked.withColumn("k", F.explode(F.sequence(_size_class(n), _size_class(F.floor(n * q / p).cast("int")))))
-    least = F.greatest(_least_size(k), F.when(k == _size_class(n), _ceil(n * p, q)).otherwise(n))
-    index = index.select("c", k.alias("kn"), _size_class(n).alias("km"), F.explode(F.slice("r", F.lit(1), F.greatest(F.lit(0), n - _ceil(p * (n + least), p + q) + 1))).alias("rank"))
-
-    hits = skew_join(s.save(probe.withColumnRenamed("c", "x"), "probe"), s.save(index.withColumnRenamed("c", "y"), "index"), ["rank", "kn", "km"])
-    hits = hits.filter("x <> y and (kn <> km or x < y)").select(F.least("x", "y").alias("ca"), F.greatest("x", "y").alias("cb")).distinct()
-    hits = s.save(hits, "hits")
-    s.drop("items", "rarity", "ranks", "probe", "index")
+
+    def prefixes(first: Column, last: Column, least: Column, name: str, kn: Column, km: Column) -> DataFrame:
+        rows = ranked.withColumn("k", F.explode(F.sequence(first, last)))
+        length = F.greatest(F.lit(0), n - _ceil(p * (n + least), p + q) + 1)
+        rows = rows.select(F.col("c").alias(name), F.col("n").alias(f"n{name}"), F.col("sig").alias(f"s{name}"), kn.alias("kn"), km.alias("km"), F.explode(F.slice("r", F.lit(1), length)).alias("rank"))
+        return rows if top <= HOT_ROWS else s.save(rows, f"prefixes-{name}")
+
+    own = _size_class(n)
+    probe = prefixes(_size_class(_ceil(n * p, q)), own, F.greatest(_least_size(k), _ceil(n * p, q)), "x", own, k)
+    least = F.greatest(_least_size(k), F.when(k == own, _ceil(n * p, q)).otherwise(n))
+    index = prefixes(own, _size_class(F.floor(n * q / p).cast("int")), least, "y", k, own)
+
+    on = ["rank", "kn", "km"]
+    # no key has more rows than the sets of its item: there is nothing to cut if the most frequent one is in few
+    hits = probe.join(index, on) if top <= HOT_ROWS else skew_join(probe, index, on)
+    need = F.ceil(F.lit(p) * (F.col("nx") + F.col("ny")) / F.lit(p + q) - 1e-9)
+    lacks = lambda a, b: F.bit_count(F.col(a).bitwiseAND(F.bitwise_not(b)))
+    hits = hits.filter("x <> y and (kn <> km or x < y)").filter((F.col("nx") - lacks("sx", "sy") >= need) & (F.col("ny") - lacks("sy", "sx") >= need))
+    hits = s.save(hits.select(F.least("x", "y").alias("ca"), F.greatest("x", "y").alias("cb")).distinct(), "hits")
+    s.drop("prefixes-x", "prefixes-y")
     sets = ranked.select("c", "r")
     hits = s.save(skew_join(hits, sets.toDF("ca", "ra"), ["ca"], unique=True), "hits-half")
     hits = skew_join(hits, sets.toDF("cb", "rb"), ["cb"], unique=True)
@@ -63,17 +88,30 @@ def similar_classes(s: Scratch, classes: DataFrame, threshold: Fraction) -> Data
     return hits.filter(q * both >= p * (F.size("ra") + F.size("rb") - both)).select("ca", "cb")
 
 
-def similar_set_pairs(sets: DataFrame, threshold: str = "0.7", least: int = 1, a: str = "id_a", b: str = "id_b") -> DataFrame:
+def similar_set_classes(sets: DataFrame, threshold: str = "0.7", least: int = 1, *, scratch: Scratch | None = None) -> dict[str, DataFrame]:
+    """The similar pairs in short: `pairs` (ca, cb) of sets, and `members` (id, c), the ids that have each of these sets.
+
+    sets: (id, items), each id once, items sorted, without nulls and repeats; sets below `least` items, empty ones always,
+    take no part. ca = cb stands for a set that several ids have. A class c has a number, without meaning beyond the
+    result. The size is that of the distinct sets, however many ids share one. Both are tables of the scratch folder.
+    """
+    s = scratch or Scratch(sets.sparkSession, "setjoin")
+    sets = s.save(sets.filter(F.size("items") >= max(1, least)).select("id", "items"), "sets")
+    grouped = sets.groupBy("items").agg(F.count(F.lit(1)).alias("copies"))
+    grouped = s.save(grouped.select(F.monotonically_increasing_id().alias("c"), "items", "copies"), "classes")
+    pairs = similar_classes(s, grouped.select("c", "items"), Fraction(threshold))
+    pairs = s.save(pairs.unionByName(grouped.filter("copies > 1").select(F.col("c").alias("ca"), F.col("c").alias("cb"))), "pairs")
+    paired = grouped.join(pairs.select(F.explode(F.array("ca", "cb")).alias("c")).distinct(), "c", "left_semi")
+    members = skew_join(sets, s.save(paired.select("c", "items"), "paired"), ["items"], unique=True)
+    return {"pairs": pairs, "members": s.save(members.select("id", "c"), "members")}
+
+
+def similar_set_pairs(sets: DataFrame, threshold: str = "0.7", least: int = 1, a: str = "id_a", b: str = "id_b", *, scratch: Scratch | None = None) -> DataFrame:
     """(a, b), a < b, of all ids whose sets overlap in at least threshold (a decimal in (0, 1]) of their union.
 
-    sets: (id, items), each id once, items without nulls and repeats; sets below `least` items, empty ones always, take
-    no part. For pairs between two tables give the union of both. Equal sets are joined once, as one class named by its
-    smallest id, and expanded to their ids at the end. No pair: an empty result.
+    The pairs of similar_set_classes expanded to their ids. For pairs between two tables give the union of both. No pair:
+    an empty result.
     """
-    s = Scratch(sets.sparkSession, "setjoin")
-    members = s.save(sets.filter(F.size("items") >= max(1, least)).select("id", F.to_json(F.array_sort("items")).alias("key")), "members")
-    grouped = s.save(members.groupBy("key").agg(F.min("id").alias("c"), F.count(F.lit(1)).alias("copies")), "classes")
-    members = s.save(skew_join(members, grouped.select("key", "c"), ["key"], unique=True).select("id", "c"), "member-of")
-    pairs = similar_classes(s, grouped.select("c", F.from_json("key", "array<string>").alias("items")), Fraction(threshold))
-    within = grouped.filter("copies > 1").select(F.col("c").alias("ca"), F.col("c").alias("cb"))
-    return member_pairs(s, pairs.unionByName(within), members, a, b)
+    s = scratch or Scratch(sets.sparkSession, "setjoin")
+    found = similar_set_classes(sets, threshold, least, scratch=s)
+    return member_pairs(s, found["pairs"], found["members"], a, b)

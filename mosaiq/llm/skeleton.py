@@ -13,9 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mosaiq.llm.classes import member_pairs
+from mosaiq.operators.skew import skew_join
 from mosaiq.runtime import Scratch, ship
 
-# Cyrillic and Greek letters (and letter-like marks of theirs) with the shape of a Latin letter.
+# Cyrillic and Greek letters (and letter-like marks of theirs) with the shape of a Latin letter in common upright
+# type. Not a copy of the published table of confusables: that also takes letters of other scripts (Armenian, Cherokee), of
+# mathematical alphabets, digits for letters and, by chains, pairs that a reader tells apart (rn and m, I and l). The problem
+# counts these as visible differences, as it does small letters that only resemble one (omega, pi, the Cyrillic v, m, n, t).
 LOOK_ALIKES = {
     # Cyrillic capitals
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T",
@@ -86,7 +90,27 @@ def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(shapes, pa.binary()), pa.array(texts, pa.binary())], names=["id", "shape", "exact"])
 
 
-def look_alike_pairs(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", a: str = "doc_a", b: str = "doc_b") -> DataFrame:
+def look_alike_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, scratch: Scratch | None = None) -> DataFrame:
+    """(id, text_class, look_class) of the rows whose text differs from another's with the same skeleton: one row an id and text.
+
+    The classes are digests of 128 bits, of the text and of its skeleton: rows that look alike have one look_class, and
+    those of them with equal texts one text_class. A table of the scratch folder. See look_alike_pairs for what is read
+    as equal.
+
+    Python gets texts in Arrow batches and gives back two digests, so no text is shuffled.
+    """
+    ship(documents.sparkSession)
+    s = scratch or Scratch(documents.sparkSession, "skeleton")
+    kind = documents.schema[id_col].dataType.simpleString()
+    rows = documents.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = s.save(rows.mapInArrow(digests, f"id {kind}, shape binary, exact binary"), "digests")
+    # a skeleton is of several texts if it has both a least and a greatest digest: no group is gathered
+    varied = rows.groupBy("shape").agg(F.min("exact").alias("lo"), F.max("exact").alias("hi")).filter("lo <> hi").select("shape")
+    found = skew_join(rows, s.save(varied, "varied"), ["shape"], unique=True)
+    return s.save(found.select("id", F.col("exact").alias("text_class"), F.col("shape").alias("look_class")).distinct(), "alike")
+
+
+def look_alike_pairs(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", a: str = "doc_a", b: str = "doc_b", *, scratch: Scratch | None = None) -> DataFrame:
     """(a, b), a < b, of rows whose texts differ but have one skeleton.
 
     Read as equal: full-width and half-width forms and ligatures and the plain characters, composed and decomposed
@@ -95,19 +119,12 @@ def look_alike_pairs(documents: DataFrame, id_col: str = "doc_id", text_col: str
     count. Null texts, texts of white space (or invisible characters) only, and null ids give no pair; repeated rows
     count once; other columns are ignored.
 
-    Python gets texts in Arrow batches and gives back two digests of 128 bits, so no text is shuffled. Digests are grouped
-    to classes of equal texts first; only classes with one skeleton are paired, and then expanded to rows, so that a
-    million copies of one text cost no comparison with each other.
+    Texts of one skeleton are paired, in blocks where it has many, and then expanded to rows, so that a million copies of
+    one text cost no comparison with each other.
     """
-    ship(documents.sparkSession)
-    s = Scratch(documents.sparkSession, "skeleton")
-    kind = documents.schema[id_col].dataType.simpleString()
-    rows = documents.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = s.save(rows.mapInArrow(digests, f"id {kind}, shape binary, exact binary"), "digests")
-    classes = rows.select("shape", "exact").distinct()
-    varied = s.save(classes.groupBy("shape").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("shape"), "varied")
-    classes = s.save(classes.join(varied, "shape", "left_semi"), "classes")
-    x, y = classes.select("shape", F.col("exact").alias("ca")), classes.select("shape", F.col("exact").alias("cb"))
-    pairs = x.join(y, "shape").filter("ca < cb").select("ca", "cb")
-    members = rows.select("id", F.col("exact").alias("c")).distinct()
-    return member_pairs(s, pairs, members, a, b).filter(F.col(a) != F.col(b)).distinct()
+    s = scratch or Scratch(documents.sparkSession, "skeleton")
+    alike = look_alike_classes(documents, id_col, text_col, scratch=s)
+    classes = s.save(alike.select("look_class", "text_class").distinct(), "classes")
+    x, y = (classes.select("look_class", F.col("text_class").alias(c)) for c in ("ca", "cb"))
+    pairs = s.save(skew_join(x, y, ["look_class"]).filter("ca < cb").select("ca", "cb"), "pairs")
+    return member_pairs(s, pairs, alike.select("id", F.col("text_class").alias("c")), a, b).filter(F.col(a) != F.col(b)).distinct()
