@@ -9,6 +9,7 @@ from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -280,3 +281,16 @@ def encoded(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     nothing = F.lit(0).cast("bigint") if count_only else F.array().cast("array<int>")
     out = out.unionByName(rows.filter(~full).select("id").distinct().select("id", nothing.alias(out.columns[1])))
     return out.withColumnRenamed("id", id_col)
+
+
+def decoded(ids: DataFrame, ids_col: str = "ids", *, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
+    """The rows with `text`, the bytes that the ids stand for, instead of ids; no bytes for an empty list, null for null."""
+    ship(ids.sparkSession)
+    path = f"{folder}/{tokenizer}.tiktoken"
+
+    @F.pandas_udf("binary")
+    def join(lists: pd.Series) -> pd.Series:
+        c = codec(path)
+        return pd.Series([None if x is None else b"".join(map(c.bytes.__getitem__, x)) for x in lists], dtype=object)
+
+    return ids.withColumn("text", join.asNondeterministic()(ids_col)).drop(ids_col)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import combinations
 from time import perf_counter
 
@@ -17,10 +19,8 @@ from mosaiq.runtime import Scratch, ship
 #: A filling: ((size, copies), ...), sizes falling. A plan: [(filling, containers)].
 Filling = tuple[tuple[int, int], ...]
 
-#: Search effort of the first round; the result is valid with any. Steps of a node's enumeration, completions tried at a node, nodes in all.
-STEPS, BRANCHES, NODES = 600, 3, 4_000
-#: Each further round has WIDER times the effort; none goes on after SECONDS of search.
-WIDER, SECONDS = 4, 5.0
+#: Each further round of a search has so many times the effort.
+WIDER = 4
 #: Ranks within one size are counted in blocks of about this many rows.
 BLOCK = 1_000_000
 
@@ -70,7 +70,50 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Filling, int]]
     return sorted((f, n) for c in room.values() for f, n in c.items())
 
 
-def completions(left: list[int], room: int, most_steps: int = STEPS, branches: int = BRANCHES) -> tuple[list[tuple[int, Filling]], bool]:
+@dataclass(frozen=True)
+class Effort:
+    """How far the search goes; each limit may be None, which is none.
+
+    The first round enumerates `steps` steps of a node's fillings and tries `branches` of them, at `nodes` nodes; further
+    rounds have WIDER times as much of each, until a round has left nothing out or `seconds` are over. EXACT has no limit:
+    one round of all undominated fillings, each for any number of containers, which ends with a proof, but may take
+    exponential time.
+    """
+
+    steps: int | None = 600
+    branches: int | None = 3
+    nodes: int | None = 4_000
+    seconds: float | None = 5.0
+
+    def times(self, factor: int) -> tuple[float, float, float]:
+        return tuple(math.inf if x is None else x * factor for x in (self.steps, self.branches, self.nodes))
+
+    @property
+    def exact(self) -> bool:
+        return self.steps is None and self.branches is None and self.nodes is None
+
+
+EXACT = Effort(None, None, None, None)
+
+
+@dataclass(frozen=True)
+class Packing:
+    """A plan, a number of containers that no plan goes below, and what is known of the plan.
+
+    proof: `bound` if it reaches the lower bound of the sizes, `search` if a round that left nothing out found no better one;
+    else `none`, as the effort was spent.
+    """
+
+    plan: list[tuple[Filling, int]]
+    bound: int
+    proof: str
+
+    @property
+    def containers(self) -> int:
+        return sum(n for _, n in self.plan)
+
+
+def completions(left: list[int], room: int, most_steps: float = math.inf, branches: float = math.inf) -> tuple[list[tuple[int, Filling]], bool]:
     """(waste, filling) of undominated ways to fill `room` from the items left, least waste first; and whether these are all.
 
     left[s] is the number of items of size s. A filling is dominated if some item outside of it can replace a part of it
@@ -108,7 +151,8 @@ def completions(left: list[int], room: int, most_steps: int = STEPS, branches: i
         for n in range(1, most + 1):
             stack.append((r - n * size, size - 1, (*chosen, (size, n))))
     found.sort(key=lambda x: (x[0], tuple(-s for s, n in x[1] for _ in range(n))))
-    return found[:branches] or [_greedy(left, room)], not stack and 0 < len(found) <= branches
+    kept = found if len(found) <= branches else found[: int(branches)]
+    return kept or [_greedy(left, room)], not stack and 0 < len(found) <= branches
 
 
 def _greedy(left: list[int], room: int) -> tuple[int, Filling]:
@@ -121,43 +165,44 @@ def _greedy(left: list[int], room: int) -> tuple[int, Filling]:
     return room, tuple(chosen)
 
 
-def bin_completion(counts: dict[int, int], capacity: int, nodes: int = NODES, seconds: float | None = None) -> tuple[list[tuple[Filling, int]], int]:
-    """(plan, lower bound): branch and bound that completes the container of the largest item left, in widening rounds.
+def bin_completion(counts: dict[int, int], capacity: int, effort: Effort | None = None) -> Packing:
+    """Branch and bound that completes the container of the largest item left, in widening rounds.
 
-    The best solution so far starts with best-fit decreasing. The first round has the effort STEPS, BRANCHES and `nodes`
-    and uses each filling as often as the items left allow, so that a step costs the same for ten items and for ten
-    billion. While the lower bound isn't reached, another round follows with WIDER times the effort, which also tries
-    fillings fewer times. A round that left nothing out proves the best so far; its number is then the bound that is
-    returned. Otherwise the search ends after `seconds` (SECONDS if None) and proves nothing: the plan is the fewest
-    possible if, and is known to be only if, its containers are as many as the bound. What a round finds in that
-    time depends on the machine; the first round is always finished.
+    The best solution so far starts with best-fit decreasing. The first round uses each filling as often as the items left
+    allow, so that a step costs the same for ten items and for ten billion. While the lower bound isn't reached, another
+    round follows with WIDER times the effort, which also tries fillings fewer times. A round that left nothing out proves
+    the best so far. What further rounds find in a limited time depends on the machine; the first is always finished.
     """
+    effort = effort or Effort()
     bound, best = lower_bound(counts, capacity), best_fit(counts, capacity)
-    until, effort = perf_counter() + (SECONDS if seconds is None else seconds), 1
+    until, factor = math.inf if effort.seconds is None else perf_counter() + effort.seconds, 1
     while sum(n for _, n in best) > bound:
-        best, whole = _round(counts, capacity, bound, best, effort, nodes * effort, until)
-        if whole:
-            return best, sum(n for _, n in best)
-        if perf_counter() >= until:
+        wide = effort.exact or factor > 1
+        best, whole = _round(counts, capacity, bound, best, effort.times(factor), (math.inf if effort.exact else factor) if wide else 1, until)
+        if whole and sum(n for _, n in best) > bound:
+            return Packing(best, sum(n for _, n in best), "search")
+        if effort.exact or perf_counter() >= until:
             break
-        effort *= WIDER
-    return best, bound
+        factor *= WIDER
+    return Packing(best, bound, "bound" if sum(n for _, n in best) == bound else "none")
 
 
-def _repeats(most: int, number: int) -> list[int]:
+def _repeats(most: int, number: float) -> list[int]:
     """How often a filling is tried, most first: all of 1..most if these are not more than `number`, else a spread of them."""
     if most <= number:
         return list(range(most, 0, -1))
     return sorted({most, *(most - most * i // number for i in range(number)), *(max(1, most - i) for i in range(number))}, reverse=True)
 
 
-def _round(counts: dict[int, int], capacity: int, bound: int, best: list[tuple[Filling, int]], effort: int, nodes: int, until: float) -> tuple[list[tuple[Filling, int]], bool]:
+def _round(counts: dict[int, int], capacity: int, bound: int, best: list[tuple[Filling, int]], limits: tuple[float, float, float], repeats: float, until: float) -> tuple[list[tuple[Filling, int]], bool]:
     """(the best plan, whether nothing was left out) of one depth-first search.
 
     A node takes the largest size left and its undominated completions, each for some numbers of containers. A node is
     pruned if its containers and the bound on the rest can't be fewer than those of the best, which is the bound on waste.
-    Ends at the lower bound, after `nodes` nodes or, beyond the first round, at the time `until`.
+    limits: steps, branches, nodes. repeats: how many numbers of containers are tried for a filling, of 1 the largest only.
+    Ends at the lower bound, after so many nodes or, with repeats above 1, at the time `until`.
     """
+    steps, branches, nodes = limits
     fewest, whole = sum(n for _, n in best), True
     left = [0] * (capacity + 1)
     for size, n in counts.items():
@@ -188,11 +233,11 @@ def _round(counts: dict[int, int], capacity: int, bound: int, best: list[tuple[F
             if used + -(-weight // capacity) >= fewest:
                 down = False
                 continue
-            if effort > 1 and perf_counter() >= until:
+            if repeats > 1 and perf_counter() >= until:
                 return best, False
             nodes -= 1
             left[size] -= 1
-            ways, all_ = completions(left, capacity - size, STEPS * effort, BRANCHES * effort)
+            ways, all_ = completions(left, capacity - size, steps, branches)
             left[size] += 1
             whole &= all_
             levels.append([size, [w for _, w in ways], (), []])
@@ -212,14 +257,14 @@ def _round(counts: dict[int, int], capacity: int, bound: int, best: list[tuple[F
             way[size] = way.get(size, 0) + 1
             filling = tuple(sorted(way.items(), reverse=True))
             most = min(left[s] // n for s, n in filling)
-            numbers = _repeats(most, effort) if effort > 1 else [most]
+            numbers = _repeats(most, repeats) if repeats > 1 else [most]
             whole &= len(numbers) == most
             level[2:] = filling, numbers
         times = numbers.pop(0)
         apply(filling, times)
         path.append((filling, times))
         down = True
-    return best, False
+    return best, fewest == bound
 
 
 def placer(plan: list[tuple[Filling, int]]):
@@ -244,7 +289,7 @@ def placer(plan: list[tuple[Filling, int]]):
     return place
 
 
-def packed(items: DataFrame, capacity: int, id_col: str = "id", size_col: str = "size", nodes: int = NODES) -> DataFrame:
+def packed(items: DataFrame, capacity: int, id_col: str = "id", size_col: str = "size", *, effort: Effort | None = None, told: Callable[[Packing], None] | None = None, scratch: Scratch | None = None) -> DataFrame:
     """(id_col, piece, start, size, container_id): where each item, or each piece of an item above the capacity, lies.
 
     Only items above the capacity are divided: into pieces of the capacity, each of which fills a container, and the
@@ -255,17 +300,21 @@ def packed(items: DataFrame, capacity: int, id_col: str = "id", size_col: str =
     Only the histogram of sizes, at most `capacity` numbers, is brought to the driver; it is all that bin completion
     needs, whatever the number of items. Its plan says how many items of each size go into containers filled alike. Items
     are then ranked within their size, in blocks, so that a size which most items have is ranked by many tasks, and a
-    rank gives the container by binary search.
+    rank gives the container by binary search. `effort` limits the search, EXACT doesn't; `told`, if given, is called with
+    the Packing, which tells whether the plan is proven to have the fewest containers.
     """
     ship(items.sparkSession)
-    s = Scratch(items.sparkSession, "packing")
+    s = scratch or Scratch(items.sparkSession, "packing")
     size = F.col(size_col).cast("bigint")
     rows = items.filter(F.col(id_col).isNotNull() & (size > 0)).select(F.col(id_col).alias("id"), size.alias("whole"))
     rows = rows.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("whole") - 1) / capacity))))
     start = F.col("piece") * capacity
     pieces = s.save(rows.select("id", "piece", start.alias("start"), F.least(F.lit(capacity), F.col("whole") - start).cast("int").alias("size")), "pieces")
     counts = {r["size"]: r["n"] for r in pieces.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
-    plan, _ = bin_completion(counts, capacity, nodes)
+    packing = bin_completion(counts, capacity, effort)
+    if told:
+        told(packing)
+    plan = packing.plan
     cut = F.array(*[F.lit(-(-counts.get(x, 0) // BLOCK) or 1) for x in range(1, capacity + 1)])
     pieces = pieces.withColumn("block", F.pmod(F.xxhash64("id", "piece"), F.element_at(cut, F.col("size"))).cast("int"))
     blocks = pieces.groupBy("size", "block").agg(F.count(F.lit(1)).alias("n"))

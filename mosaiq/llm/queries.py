@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from mosaiq.llm.components import connected_groups
 from mosaiq.llm.cooccur import cooccurring_items
-from mosaiq.llm.encoding import encoded
+from mosaiq.llm.encoding import decoded, encoded
 from mosaiq.llm.history import repeated_arrivals
 from mosaiq.llm.packing import packed
 from mosaiq.llm.setjoin import similar_set_pairs
 from mosaiq.llm.skeleton import look_alike_pairs
 from mosaiq.llm.survivor import Field, source_rank, survivors, text_length
 from mosaiq.llm.tags import tag_sets
-from mosaiq.runtime import table
+from mosaiq.runtime import Scratch, table
 
 CAPACITY = 2048
 TRUSTED = ("upload", "link", "seed")
@@ -81,18 +81,38 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoded(table(spark, d, "documents"))
 
 
+def p6_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The round trip: a digest of the text that the ids of each document stand for."""
+    ids = encoded(table(spark, d, "documents"))
+    return decoded(ids).select("doc_id", F.md5("text").alias("digest"))
+
+
+def _packed(spark: SparkSession, d: str, told=None) -> DataFrame:
+    placed = packed(encoded(table(spark, d, "documents"), count_only=True), CAPACITY, "doc_id", "n_tokens", told=told)
+    return placed.select("container_id", "doc_id", "piece", F.col("start").alias("start_token"), F.col("size").alias("n_tokens"))
+
+
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     """Every document, or piece of one above 2,048 tokens, with its container of 2,048 tokens."""
-    sized = encoded(table(spark, d, "documents"), count_only=True)
-    placed = packed(sized, CAPACITY, "doc_id", "n_tokens")
-    return placed.select("container_id", "doc_id", "piece", F.col("start").alias("start_token"), F.col("size").alias("n_tokens"))
+    return _packed(spark, d)
 
 
 def p7_summary(spark: SparkSession, d: str) -> DataFrame:
-    """How many containers there are, how many the tokens need at least, and the share of unused space."""
-    all_ = p7_containers(spark, d).agg(F.countDistinct("container_id").alias("containers"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens"))
+    """How many containers there are, the bound that no plan goes below and what proves the plan (see Packing), and the share of unused space."""
+    told = []
+    all_ = _packed(spark, d, told.append).agg(F.countDistinct("container_id").alias("containers"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens"))
     room = F.col("containers") * CAPACITY
-    return all_.select("containers", "tokens", F.ceil(F.col("tokens") / CAPACITY).alias("at_least"), F.round(F.when(room > 0, 1 - F.col("tokens") / room).otherwise(0.0), 6).alias("unused"))
+    return all_.select("containers", "tokens", F.lit(told[0].bound).alias("bound"), F.lit(told[0].proof).alias("proof"), F.round(F.when(room > 0, 1 - F.col("tokens") / room).otherwise(0.0), 6).alias("unused"))
+
+
+def p7_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold for any packing: documents placed, containers above the capacity, gaps in their numbers, pieces that needn't or don't fit together."""
+    rows = Scratch(spark, "checks").save(_packed(spark, d), "placed")
+    held = rows.groupBy("container_id").agg(F.sum("n_tokens").alias("n"))
+    whole = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("n"), F.max("piece").alias("last"), F.sum(F.when(F.col("start_token") == F.col("piece") * CAPACITY, 0).otherwise(1)).alias("shifted"))
+    counts = held.agg(F.count_if(F.col("n") > CAPACITY).alias("overfull"), (F.coalesce(F.max("container_id") + 1, F.lit(0)) - F.count(F.lit(1))).alias("gaps"))
+    cut = F.count_if((F.col("pieces") != F.ceil(F.col("n") / CAPACITY)) | (F.col("last") != F.col("pieces") - 1) | (F.col("shifted") > 0))
+    return whole.agg(F.count(F.lit(1)).alias("documents"), cut.alias("badly_cut")).join(F.broadcast(counts))  # one row
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -100,4 +120,4 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return look_alike_pairs(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_odds, p4_found, p5_found, p5_survivors, p6_ids, p7_containers, p7_summary, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_odds, p4_found, p5_found, p5_survivors, p6_ids, p6_texts, p7_containers, p7_summary, p7_checks, p8_found)}

@@ -16,7 +16,7 @@ from mosaiq.llm.cooccur import cooccurring_items, run_lengths
 from mosaiq.llm.encoding import codec, encoded
 from mosaiq.llm.history import History, bands, repeated_arrivals
 from mosaiq.llm.oracle import SQL
-from mosaiq.llm.packing import best_fit, bin_completion, lower_bound, packed
+from mosaiq.llm.packing import EXACT, Effort, best_fit, bin_completion, lower_bound, packed
 from mosaiq.llm.queries import QUERIES
 from mosaiq.llm.setjoin import similar_set_pairs
 from mosaiq.llm.skeleton import look_alike_pairs, skeleton
@@ -437,10 +437,10 @@ def test_plans_are_valid_and_no_worse_than_best_fit(seed):
     if seed % 3 == 0:
         counts = {s: n * 10_000 + rng.randrange(99) for s, n in counts.items()}
     fit = best_fit(counts, capacity)
-    plan, bound = bin_completion(counts, capacity, 400)
-    for p in (fit, plan):
+    got = bin_completion(counts, capacity, Effort(nodes=400, seconds=1))
+    for p in (fit, got.plan):
         check_plan(p, counts, capacity)
-    assert bound <= sum(n for _, n in plan) <= sum(n for _, n in fit)
+    assert got.bound <= got.containers <= sum(n for _, n in fit) and (got.proof == "none") == (got.bound < got.containers)
 
 
 def optimum(items, capacity):
@@ -465,44 +465,58 @@ def optimum(items, capacity):
 def test_small_cases_reach_the_optimum(seed):
     rng = random.Random(100 + seed)
     items = sorted((rng.randint(8, 60) for _ in range(11)), reverse=True)
-    plan, bound = bin_completion(dict(Counter(items)), 100)
     best = optimum(items, 100)
-    assert lower_bound(dict(Counter(items)), 100) <= best == sum(n for _, n in plan)
+    for effort in (Effort(), EXACT):
+        got = bin_completion(dict(Counter(items)), 100, effort)
+        assert lower_bound(dict(Counter(items)), 100) <= best == got.containers and (effort is not EXACT or got.proof != "none" and got.bound == best)
 
 
 def test_better_than_best_fit():
     # best fit decreasing needs three containers of 100 here
     counts = {44: 1, 42: 1, 38: 1, 30: 1, 28: 1, 18: 1}
-    plan, _ = bin_completion(counts, 100)
-    assert (sum(n for _, n in best_fit(counts, 100)), sum(n for _, n in plan)) == (3, 2)
+    got = bin_completion(counts, 100)
+    assert (sum(n for _, n in best_fit(counts, 100)), got.containers, got.proof) == (3, 2, "bound")
 
 
-def test_search_goes_on_where_the_first_round_was_cut(monkeypatch):
+def test_search_goes_on_where_the_first_round_was_cut():
     counts = {44: 1, 42: 1, 38: 1, 30: 1, 28: 1, 18: 1}
-    plan, bound = bin_completion(counts, 100, 1)
-    assert sum(n for _, n in plan) == bound == 2
-    monkeypatch.setattr(packing, "STEPS", 1)
-    monkeypatch.setattr(packing, "BRANCHES", 1)
+    got = bin_completion(counts, 100, Effort(nodes=1))
+    assert got.containers == got.bound == 2
     for seed in range(60):
         rng = random.Random(500 + seed)
         items = sorted((rng.randint(11, 55) for _ in range(10)), reverse=True)
-        plan, bound = bin_completion(dict(Counter(items)), 100, 1, 20)
-        check_plan(plan, dict(Counter(items)), 100)
-        assert sum(n for _, n in plan) == bound == optimum(items, 100)
+        got = bin_completion(dict(Counter(items)), 100, Effort(1, 1, 1, 20))
+        check_plan(got.plan, dict(Counter(items)), 100)
+        assert got.containers == got.bound == optimum(items, 100)
 
 
 def test_a_round_that_left_nothing_out_is_a_proof():
     assert lower_bound({34: 5}, 100) == 2
-    plan, bound = bin_completion({34: 5}, 100)
-    assert sum(n for _, n in plan) == bound == 3
+    for effort in (None, EXACT):
+        got = bin_completion({34: 5}, 100, effort)
+        assert (got.containers, got.bound, got.proof) == (3, 3, "search")
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_no_limit_enumerates_every_undominated_filling(seed):
+    """Each way to fill a room is there or can be replaced, item by item, by one that is."""
+    rng = random.Random(700 + seed)
+    left = [0] * 31
+    for _ in range(9):
+        left[rng.randint(3, 30)] += 1
+    ways, all_ = packing.completions(left, 30)
+    assert all_ and all(sum(s * n for s, n in f) + w == 30 for w, f in ways)
+    sizes = [s for s, n in enumerate(left) for _ in range(n)]
+    least = min(30 - sum(c) for k in range(len(sizes) + 1) for c in combinations(sizes, k) if sum(c) <= 30)
+    assert min(w for w, _ in ways) == least
 
 
 def test_the_search_ends_in_time():
     rng = random.Random(0)
     counts = {s: rng.randrange(10_000, 90_000) for s in rng.sample(range(20, 1000), 300)}
-    plan, bound = bin_completion(counts, 1000, 10, 0)
-    check_plan(plan, counts, 1000)
-    assert bound == lower_bound(counts, 1000)
+    got = bin_completion(counts, 1000, Effort(nodes=10, seconds=0))
+    check_plan(got.plan, counts, 1000)
+    assert got.bound == lower_bound(counts, 1000)
 
 
 def test_every_item_has_its_place(spark, monkeypatch):
@@ -510,7 +524,9 @@ def test_every_item_has_its_place(spark, monkeypatch):
     rng = random.Random(4)
     sizes = [rng.choice([3, 50, 100, 101, 250, 999, 37, 0, -1, None]) for _ in range(300)]
     df = spark.createDataFrame(list(enumerate(sizes)) + [(None, 5)], "id bigint, size bigint").repartition(4)
-    rows = packed(df, 100).collect()
+    told = []
+    rows = packed(df, 100, told=told.append).collect()
+    assert told[0].containers == len({r.container_id for r in rows})
     whole, room, pieces = Counter(), Counter(), defaultdict(list)
     for r in rows:
         whole[r.id] += r["size"]
