@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from mosaiq.functions.hashing import classify, hamming, hash_bits, is_hash
 from mosaiq.operators.filters import visible_to
-from mosaiq.operators.skew import skew_join
+from mosaiq.operators.skew import HOT_ROWS, skew_join
 from mosaiq.runtime import Scratch
 
 #: Rows to which one task expands hashes, to all values within a radius of their bands.
@@ -124,9 +124,12 @@ def components(links: DataFrame) -> DataFrame:
     edges = s.save(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "e0")
     turn, before = 0, None
     while True:
-        both = s.save(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), f"b{turn}")
-        least = s.save(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), f"m{turn}")
-        large = skew_join(both, least, ["u"], unique=True).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        several = edges.count() > HOT_ROWS  # else no node can be hot, and its edges needn't be written for a second look
+        both = s.save(both, f"b{turn}") if several else both
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = skew_join(both, s.save(least, f"m{turn}"), ["u"], unique=True) if several else both.join(least, "u")
+        large = large.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = s.save(large, f"g{turn}")
         small = skew_join(large, large.groupBy("u").agg(F.min("v").alias("m")), ["u"], unique=True)
         small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()

@@ -14,6 +14,8 @@ from mosaiq.runtime import ship
 
 SIDE, BLOCK = 32, 8
 MOST_TURNS, STILL = 40, 0.5
+#: Pixels of images that k-means takes together.
+TOGETHER = 1 << 17
 SWATCH = "array<struct<r:int,g:int,b:int,hex:string,share:double>>"
 
 
@@ -106,40 +108,64 @@ def _first_centres(px: np.ndarray, k: int, random: Uniform) -> np.ndarray:
 
 
 def k_means(pixels, k: int = 5, seed: int = 1) -> dict:
-    """{swatches, iterations, inertia} of flat r, g, b values.
+    """k_means_all of one image."""
+    return k_means_all([pixels], k, [seed])[0]
+
+
+def k_means_all(images: list, k: int, seeds: list[int]) -> list[dict]:
+    """{swatches, iterations, inertia} of each image of flat r, g, b values.
 
     At most 40 turns, until no centre moves by half a step. A pixel goes to the first of equally near centres; a centre
     without pixels stays and gives no swatch. Shares are of the last assignment, colours of the update after it. Largest
     share first, then by hex. No pixel: no swatch.
+
+    Images with as many pixels and centres take their turns together, a bounded number of values at a time; each leaves
+    when it is still.
     """
-    px = channel_values(pixels).astype(np.float64)
-    px = px[: len(px) // 3 * 3].reshape(-1, 3)
-    if not len(px):
-        return {"swatches": [], "iterations": 0, "inertia": 0.0}
-    k = max(1, min(k, len(px)))
-    centres = _first_centres(px, k, Uniform(seed))
-    channels = np.ascontiguousarray(px.T)
-    turns, before = 0, centres
-    while turns < MOST_TURNS:
-        turns += 1
-        before = centres.copy()
+    out: list[dict] = [{"swatches": [], "iterations": 0, "inertia": 0.0} for _ in images]
+    alike: dict[int, list[int]] = {}
+    every = []
+    for i, pixels in enumerate(images):
+        px = channel_values(pixels).astype(np.float64)
+        every.append(px[: len(px) // 3 * 3].reshape(-1, 3))
+        if len(every[i]):
+            alike.setdefault(len(every[i]), []).append(i)
+    for n, members in alike.items():
+        own, step = max(1, min(k, n)), max(1, TOGETHER // n)
+        for at in range(0, len(members), step):
+            some = members[at : at + step]
+            start = np.stack([_first_centres(every[i], own, Uniform(seeds[i])) for i in some])
+            for i, found in zip(some, _turns(np.stack([every[i].T for i in some]), start), strict=True):
+                out[i] = found
+    return out
+
+
+def _turns(px: np.ndarray, centres: np.ndarray) -> list[dict]:
+    """Lloyd's turns for images (image, channel, pixel) from centres (image, centre, channel)."""
+    count, k, n = len(px), centres.shape[1], px.shape[2]
+    before, turns, sizes = centres.copy(), np.zeros(count, int), np.zeros((count, k), np.int64)
+    nearest, going = np.zeros((count, n), np.int64), np.arange(count)
+    for turn in range(1, MOST_TURNS + 1):
+        x, c = px[going], centres[going]
         # the square of a pixel is the same for all centres: one matrix product leaves the order of their distances
-        scores = (centres**2).sum(1)[:, None] - 2 * centres @ channels
-        nearest, least = np.zeros(len(px), np.int64), scores[0].copy()
-        for i in range(1, k):
-            nearest[scores[i] < least] = i
-            np.minimum(least, scores[i], out=least)
-        counts = np.bincount(nearest, minlength=k)
-        used = counts > 0
-        means = np.stack([np.bincount(nearest, x, k) for x in channels], 1)[used] / counts[used, None]
-        moved = np.sqrt(((means - centres[used]) ** 2).sum(1)).max()
-        centres[used] = means
-        if moved < STILL:
+        group = ((c**2).sum(2)[:, :, None] - 2 * c @ x).argmin(1)
+        place = (group + k * np.arange(len(going))[:, None]).ravel()
+        sums = [np.bincount(place, x[:, i].ravel(), k * len(going)) for i in range(3)]
+        size = np.bincount(place, minlength=k * len(going)).reshape(-1, k)
+        used = size > 0
+        means = np.where(used[:, :, None], np.stack(sums, 1).reshape(-1, k, 3) / np.maximum(size, 1)[:, :, None], c)
+        moved = np.sqrt(((means - c) ** 2).sum(2)).max(1)
+        before[going], centres[going], nearest[going], sizes[going], turns[going] = c, means, group, size, turn
+        going = going[moved >= STILL]
+        if not len(going):
             break
-    inertia = float(((px - before[nearest]) ** 2).sum(1).mean())
+    out = []
     colours = np.floor(centres + 0.5).astype(int)
-    swatches = [{"r": int(r), "g": int(g), "b": int(b), "hex": f"#{r:02x}{g:02x}{b:02x}", "share": float(n / len(px))} for (r, g, b), n in zip(colours, counts, strict=True) if n]
-    return {"swatches": sorted(swatches, key=lambda s: (-s["share"], s["hex"])), "iterations": turns, "inertia": inertia}
+    for i in range(count):
+        inertia = float(((px[i].T - before[i][nearest[i]]) ** 2).sum(1).mean())
+        swatches = [{"r": int(r), "g": int(g), "b": int(b), "hex": f"#{r:02x}{g:02x}{b:02x}", "share": float(m / n)} for (r, g, b), m in zip(colours[i], sizes[i], strict=True) if m]
+        out.append({"swatches": sorted(swatches, key=lambda s: (-s["share"], s["hex"])), "iterations": int(turns[i]), "inertia": inertia})
+    return out
 
 
 def perceptual_hashes(images: DataFrame, gray: str = "gray", out: str = "phash") -> DataFrame:
@@ -170,8 +196,11 @@ def palettes(images: DataFrame, pixels: str = "pixels", *, k: int = 5, seed: int
 
     @F.pandas_udf(kind)
     def cluster(batch: pd.Series, seeds: pd.Series) -> pd.DataFrame:
-        found = [k_means(p, k, int(s)) if p is not None else {"swatches": None, "iterations": None, "inertia": None} for p, s in zip(batch, seeds, strict=True)]
-        return pd.DataFrame({"palette": [f["swatches"] for f in found], "iterations": [f["iterations"] for f in found], "inertia": [f["inertia"] for f in found]})
+        given = [i for i, p in enumerate(batch) if p is not None]
+        found: list[dict] = [{"swatches": None, "iterations": None, "inertia": None}] * len(batch)
+        for i, one in zip(given, k_means_all([batch[i] for i in given], k, [int(seeds[i]) for i in given]), strict=True):
+            found[i] = one
+        return pd.DataFrame({"palette": [f["swatches"] for f in found], "iterations": pd.array([f["iterations"] for f in found], "Int32"), "inertia": [f["inertia"] for f in found]})
 
     seeds = F.col(seed) if isinstance(seed, str) else F.lit(seed)
     return images.withColumn("_c", _once(cluster)(pixels, seeds)).select("*", "_c.*").drop("_c")

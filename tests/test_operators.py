@@ -231,6 +231,29 @@ def test_k_means():
     assert images.Uniform(1).next() == pytest.approx(0.6270739405881613)
 
 
+def test_images_take_their_turns_together():
+    """Batches of images of several sizes give what each gives alone, and that is what the definition gives."""
+    rng = np.random.default_rng(7)
+    pics = [rng.integers(0, 256, 3 * n) for n in (200, 1, 200, 77, 0, 200, 3)] + [np.tile([9, 9, 9], 50)]
+    seeds = list(range(len(pics)))
+    together = images.k_means_all(pics, 4, seeds)
+    assert together == [images.k_means(p, 4, s) for p, s in zip(pics, seeds, strict=True)]
+    px = pics[0].reshape(-1, 3).astype(float)
+    centres, turns = images._first_centres(px, 4, images.Uniform(0)), 0
+    while turns < 40:
+        turns, old = turns + 1, centres.copy()
+        near = ((px[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+        for i in range(4):
+            if (near == i).any():
+                centres[i] = px[near == i].mean(0)
+        if np.sqrt(((centres - old) ** 2).sum(1)).max() < 0.5:
+            break
+    got = together[0]
+    assert got["iterations"] == turns and got["inertia"] == pytest.approx(((px - old[near]) ** 2).sum(1).mean())
+    assert sorted(s["share"] for s in got["swatches"]) == sorted(np.bincount(near, minlength=4) / 200)
+    assert {s["hex"] for s in got["swatches"]} == {"#%02x%02x%02x" % tuple(int(x + 0.5) for x in c) for c in centres}
+
+
 def test_failed_images_are_told(spark):
     df = spark.createDataFrame([(1, [1.0] * 5, [1, 2, 3]), (2, None, None)], "id int, gray array<double>, pixels array<int>")
     got = {r.id: r for r in images.analyze(df).collect()}
