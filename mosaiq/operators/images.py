@@ -213,21 +213,23 @@ def analyze(images: DataFrame, *, k: int = 5, content: str | None = None) -> Dat
     """
     kind = f"phash string, palette {SWATCH}, analyzed boolean, error string"
 
-    def one(phash, pixels, data) -> tuple:
-        errors, palette = [] if phash else ["no grey matrix of 32 x 32"], None
-        try:
-            values = channel_values(pixels)
-            seed = seed_of(data if data is not None else values.astype(np.uint8).tobytes())
-            palette = k_means(values, k, seed)["swatches"]
-        except (TypeError, ValueError) as e:
-            errors.append(f"no palette: {e}")
-        return phash, palette, phash is not None or palette is not None, errors[0] if errors else None
-
     ship(images.sparkSession)
 
     @F.pandas_udf(kind)
     def both(gray: pd.Series, pixels: pd.Series, data: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(*x) for x in zip(hashes_of(list(gray)), pixels, data, strict=True)], columns=["phash", "palette", "analyzed", "error"])
+        hashes, values, wrong = hashes_of(list(gray)), {}, {}
+        for i, x in enumerate(pixels):
+            try:
+                values[i] = channel_values(x).astype(np.uint8)
+            except (TypeError, ValueError) as e:
+                wrong[i] = f"no palette: {e}"
+        seeds = [seed_of(data[i] if data[i] is not None else v.tobytes()) for i, v in values.items()]
+        found = dict(zip(values, k_means_all(list(values.values()), k, seeds), strict=True))
+        rows = []
+        for i, phash in enumerate(hashes):
+            palette, error = found[i]["swatches"] if i in found else None, wrong.get(i)
+            rows.append((phash, palette, phash is not None or palette is not None, error if phash else "no grey matrix of 32 x 32"))
+        return pd.DataFrame(rows, columns=["phash", "palette", "analyzed", "error"])
 
     data = F.col(content) if content else F.lit(None).cast("binary")
     return images.withColumn("_a", _once(both)("gray", "pixels", data)).select("*", "_a.*").drop("_a")

@@ -21,14 +21,15 @@ def hot_limit(rows: int, partitions: int, least: int) -> int:
     return max(least, -(-rows // max(1, partitions)))
 
 
-def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", *, least: int = HOT_ROWS, unique: bool = False) -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", *, least: int = HOT_ROWS, unique: bool = False, hot_left: dict[tuple, int] | None = None) -> DataFrame:
     """left.join(right, on, how), with hot keys cut into blocks on both sides.
 
     A key is hot if it has more rows on a side than that side's rows divided by the number of shuffle partitions (and than
     `least`), so that the table of hot keys, which is collected and broadcast, is shorter than twice the number of
     partitions. A side of at most `least` rows isn't looked at. Rows of a hot key get a block number from their own hash
     and their place in the table; each block of one side meets each block of the other exactly once, so the result is that
-    of the plain join. how: inner; left and left_anti split the left side only. unique: right has one row a key. The
+    of the plain join. how: inner; left, left_semi and left_anti split the left side only. unique: right has one row a key.
+    hot_left: the left side's hot keys and their rows, where the caller knows them, so that they aren't counted. The
     sides are scanned more than once, and a place must be the same again after a lost task: pass written tables. Null
     keys never match, as in SQL.
     """
@@ -38,7 +39,8 @@ def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inne
     for i, side in enumerate([left, right] if both else [left]):
         rows = side.count()
         limits[i] = hot_limit(rows, partitions, least)
-        hot[i] = hot_keys(side, on, limits[i]) if rows > limits[i] else {}
+        known = hot_left if i == 0 else None
+        hot[i] = {} if rows <= limits[i] else known if known is not None else hot_keys(side, on, limits[i])
     keys = hot[0].keys() | hot[1].keys()
     if not keys:
         return left.join(right, on, how)
