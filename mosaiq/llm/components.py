@@ -5,11 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mosaiq.operators import skew
 from mosaiq.operators.skew import skew_join
 from mosaiq.runtime import Scratch, dense_ids
 
 
-def connected_groups(links: DataFrame, a: str, b: str) -> DataFrame:
+def _crowded(degrees: DataFrame, key: str, edges: int) -> dict[tuple, int]:
+    """Ends of so many edges that joins on them are cut into blocks; each edge has two ends, so that there are fewer than twice the partitions."""
+    limit = skew.hot_limit(edges, int(degrees.sparkSession.conf.get("spark.sql.shuffle.partitions")), skew.HOT_ROWS)
+    return {(r[key],): r["degree"] for r in degrees.filter(F.col("degree") > limit).select(key, "degree").collect()} if edges > limit else {}
+
+
+def connected_groups(links: DataFrame, a: str, b: str, *, scratch: Scratch | None = None) -> DataFrame:
     """One row (id, group_id) for each id with a link to another id; group_id is the smallest id it is connected with.
 
     links: any DataFrame with id columns a and b of one type. Pairs with a null, pairs of an id with itself and
@@ -23,28 +30,29 @@ def connected_groups(links: DataFrame, a: str, b: str) -> DataFrame:
 
     Ids are first replaced by their rank, so that rounds move 8-byte numbers. A round's map (component -> root) holds
     only components that still have edges; the maps are composed at the end, last first. Each step is a table in the
-    shared folder. Joins on roots use skew_join, as one root may hold most of the rows.
+    shared folder. Joins on roots use skew_join, as one root may hold most of the rows; the ends of most edges are known
+    from the choice of each component's edge.
     """
-    spark = links.sparkSession
-    s = Scratch(spark, "groups")
+    s = scratch or Scratch(links.sparkSession, "groups")
     lo, hi = F.least(F.col(a), F.col(b)), F.greatest(F.col(a), F.col(b))
     named = links.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     named = s.save(named.select(lo.alias("lo"), hi.alias("hi")).distinct(), "named")
-    ids = dense_ids(s, named.select(F.explode(F.array("lo", "hi")).alias("id")).distinct(), ["id"], "ids")
-    edges = skew_join(named, ids.select(F.col("id").alias("lo"), F.col("n").alias("l")), ["lo"], unique=True).select("l", "hi")
-    edges = skew_join(s.save(edges, "half"), ids.select(F.col("id").alias("hi"), F.col("n").alias("h")), ["hi"], unique=True).select("l", "h")
+    ids = dense_ids(s, named.select(F.explode(F.array("lo", "hi")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree")), ["id"], "ids")
+    hot, ids = _crowded(ids, "id", named.count()), ids.drop("degree")
+    edges = skew_join(named, ids.select(F.col("id").alias("lo"), F.col("n").alias("l")), ["lo"], unique=True, hot_left=hot).select("l", "hi")
+    edges = skew_join(s.save(edges, "half"), ids.select(F.col("id").alias("hi"), F.col("n").alias("h")), ["hi"], unique=True, hot_left=hot).select("l", "h")
     edges = s.save(edges, "edges-0")
     s.drop("half", "named")
 
     maps: list[DataFrame] = []
     while not edges.isEmpty():
         k = len(maps)
-        roots = _hook(s, edges, k)
+        roots, hot = _hook(s, edges, k)
         maps.append(roots)
         end = roots.select(F.col("v").alias("l"), F.col("p").alias("rl"))
-        step = s.save(skew_join(edges, end, ["l"], unique=True).select("rl", "h"), f"relabel-{k}")
+        step = s.save(skew_join(edges, end, ["l"], unique=True, hot_left=hot).select("rl", "h"), f"relabel-{k}")
         end = roots.select(F.col("v").alias("h"), F.col("p").alias("rh"))
-        step = skew_join(step, end, ["h"], unique=True).filter("rl <> rh")
+        step = skew_join(step, end, ["h"], unique=True, hot_left=hot).filter("rl <> rh")
         edges = s.save(step.select(F.least("rl", "rh").alias("l"), F.greatest("rl", "rh").alias("h")).distinct(), f"edges-{k + 1}")
         s.drop(f"relabel-{k}", f"edges-{k}")
 
@@ -58,11 +66,12 @@ def connected_groups(links: DataFrame, a: str, b: str) -> DataFrame:
     return named_roots.join(ids.withColumnRenamed("n", "v"), "v").select("id", "group_id")
 
 
-def _hook(s: Scratch, edges: DataFrame, k: int) -> DataFrame:
-    """(v, p): the root p of each component v after one round."""
+def _hook(s: Scratch, edges: DataFrame, k: int) -> tuple[DataFrame, dict[tuple, int]]:
+    """(v, p): the root p of each component v after one round; and the components of so many edges that joins on them are cut."""
     both = edges.select(F.explode(F.array(F.struct(F.col("l").alias("v"), F.col("h").alias("u")), F.struct(F.col("h").alias("v"), F.col("l").alias("u")))).alias("e"))
     # the smallest edge (smaller end, larger end) at v is the one to its smallest neighbour, on whichever side that lies
-    chosen = s.save(both.groupBy("e.v").agg(F.min("e.u").alias("p")), f"chosen-{k}")
+    chosen = s.save(both.groupBy("e.v").agg(F.min("e.u").alias("p"), F.count(F.lit(1)).alias("degree")), f"chosen-{k}")
+    hot, chosen = _crowded(chosen, "v", edges.count()), chosen.select("v", "p")
     back = chosen.select(F.col("v").alias("p"), F.col("p").alias("g"))
     mutual = (F.col("g") == F.col("v")) & (F.col("v") < F.col("p"))
     at = s.save(skew_join(chosen, back, ["p"], unique=True).select("v", F.when(mutual, F.col("v")).otherwise(F.col("p")).alias("p"), F.lit(True).alias("moved")), f"up-{k}-0")
@@ -74,4 +83,4 @@ def _hook(s: Scratch, edges: DataFrame, k: int) -> DataFrame:
         at = s.save(step, f"up-{k}-{turn + 1}")
         s.drop(f"up-{k}-{turn}")
         turn += 1
-    return at.select("v", "p")
+    return at.select("v", "p"), hot

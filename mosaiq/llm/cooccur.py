@@ -34,7 +34,7 @@ def run_lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([last], pa.int64()), pa.array([held], pa.int64())], names=["code", "n"])
 
 
-def cooccurring_items(sets: DataFrame, *, least: int = 1, share: str = "0", lift: str = "0") -> DataFrame:
+def cooccurring_items(sets: DataFrame, *, least: int = 1, share: str = "0", lift: str = "0", scratch: Scratch | None = None) -> DataFrame:
     """Pairs of items that occur in the same set, with counts, lift and odds ratio.
 
     sets: (id, items), each id once, items distinct and without nulls; empty sets don't count. Result: item_a < item_b
@@ -49,7 +49,7 @@ def cooccurring_items(sets: DataFrame, *, least: int = 1, share: str = "0", lift
     input partition. Pairs are made row by row, never as an array of all pairs of a set.
     """
     ship(sets.sparkSession)
-    s = Scratch(sets.sparkSession, "cooccur")
+    s = scratch or Scratch(sets.sparkSession, "cooccur")
     sets = s.save(sets.filter(F.size("items") > 0), "sets")
     total = sets.count()
     part, ratio = Fraction(share), Fraction(lift)
