@@ -47,12 +47,13 @@ def connected_groups(links: DataFrame, a: str, b: str, *, scratch: Scratch | Non
     maps: list[DataFrame] = []
     while not edges.isEmpty():
         k = len(maps)
-        roots, hot = _hook(s, edges, k)
+        few = edges.count() <= skew.HOT_ROWS
+        roots, hot = _hook(s, edges, k, few)
         maps.append(roots)
         end = roots.select(F.col("v").alias("l"), F.col("p").alias("rl"))
-        step = s.save(skew_join(edges, end, ["l"], unique=True, hot_left=hot).select("rl", "h"), f"relabel-{k}")
+        step = edges.join(end, "l") if few else s.save(skew_join(edges, end, ["l"], unique=True, hot_left=hot).select("rl", "h"), f"relabel-{k}")
         end = roots.select(F.col("v").alias("h"), F.col("p").alias("rh"))
-        step = skew_join(step, end, ["h"], unique=True, hot_left=hot).filter("rl <> rh")
+        step = (step.join(end, "h") if few else skew_join(step, end, ["h"], unique=True, hot_left=hot)).filter("rl <> rh")
         edges = s.save(step.select(F.least("rl", "rh").alias("l"), F.greatest("rl", "rh").alias("h")).distinct(), f"edges-{k + 1}")
         s.drop(f"relabel-{k}", f"edges-{k}")
 
@@ -66,8 +67,11 @@ def connected_groups(links: DataFrame, a: str, b: str, *, scratch: Scratch | Non
     return named_roots.join(ids.withColumnRenamed("n", "v"), "v").select("id", "group_id")
 
 
-def _hook(s: Scratch, edges: DataFrame, k: int) -> tuple[DataFrame, dict[tuple, int]]:
-    """(v, p): the root p of each component v after one round; and the components of so many edges that joins on them are cut."""
+def _hook(s: Scratch, edges: DataFrame, k: int, few: bool) -> tuple[DataFrame, dict[tuple, int]]:
+    """(v, p): the root p of each component v after one round; and the components of so many edges that joins on them are cut.
+
+    few: there are so few edges that no key can be hot; then a table is written for every second doubling only.
+    """
     both = edges.select(F.explode(F.array(F.struct(F.col("l").alias("v"), F.col("h").alias("u")), F.struct(F.col("h").alias("v"), F.col("l").alias("u")))).alias("e"))
     # the smallest edge (smaller end, larger end) at v is the one to its smallest neighbour, on whichever side that lies
     chosen = s.save(both.groupBy("e.v").agg(F.min("e.u").alias("p"), F.count(F.lit(1)).alias("degree")), f"chosen-{k}")
@@ -79,8 +83,11 @@ def _hook(s: Scratch, edges: DataFrame, k: int) -> tuple[DataFrame, dict[tuple,
     turn = 0
     while not at.filter("moved").isEmpty():
         up = at.select(F.col("v").alias("p"), F.col("p").alias("g"))
-        step = skew_join(at.select("v", "p"), up, ["p"], unique=True).select("v", F.col("g").alias("p"), (F.col("g") != F.col("p")).alias("moved"))
-        at = s.save(step, f"up-{k}-{turn + 1}")
+        step = skew_join(at.select("v", "p"), up, ["p"], unique=True)
+        if few:
+            twice = step.select("v", "p", F.col("g").alias("q")).join(step.select(F.col("v").alias("q"), "g"), "q")
+            step = twice.select("v", "p", "g")
+        at = s.save(step.select("v", F.col("g").alias("p"), (F.col("g") != F.col("p")).alias("moved")), f"up-{k}-{turn + 1}")
         s.drop(f"up-{k}-{turn}")
         turn += 1
     return at.select("v", "p"), hot
