@@ -70,7 +70,7 @@ def channel_values(pixels) -> np.ndarray:
 
 
 class Uniform:
-    """The mulberry32 sequence: a 32-bit generator, the same for a seed everywhere."""
+    """The mulberry32 sequence: a published 32-bit generator, the same for a seed everywhere; its constants are fixed values."""
 
     def __init__(self, seed: int):
         self.state = seed % (1 << 32)
@@ -85,7 +85,7 @@ class Uniform:
 
 
 def seed_of(data: bytes) -> int:
-    """FNV-1a of every 997th byte."""
+    """FNV-1a, a published hash, of every 997th byte; its constants and the stride are fixed values."""
     h = 0x811C9DC5
     for byte in data[::997]:
         h = (h ^ byte) * 0x01000193 % (1 << 32)

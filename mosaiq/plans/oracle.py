@@ -274,13 +274,13 @@ UNION ALL SELECT NULL, author_id, provider_id, source, visibility, NULL, NULL FR
     "form_limits": f"""WITH {P}, {C}, e AS (SELECT 'pin' AS kind, id, concat_ws(',', CASE WHEN length(trim(coalesce(title, ''))) NOT BETWEEN 1 AND 120 THEN 'title' END, CASE WHEN length(trim(coalesce(description, ''))) > 500 THEN 'description' END) AS errors FROM p
 UNION ALL SELECT 'comment', CAST(id AS VARCHAR), CASE WHEN length(trim(coalesce(body, ''))) NOT BETWEEN 1 AND 1000 THEN 'body' ELSE '' END FROM c) SELECT * FROM e WHERE errors <> ''""",
     "parsed_visibility": f"WITH {P} SELECT id, 'public' AS upper, CASE WHEN visibility = 'private' THEN 'private' ELSE 'public' END AS as_stored FROM p",
-    "pin_list": f"WITH {PV} SELECT id, title, description, image_url, thumb_url, author, author_id, epoch_ms(created_at) AS created_at, source, public_id, width, height, provider, provider_id, provider_page_url, credit, array_to_string(list_filter(tags, lambda t: t IS NOT NULL), '|') AS tags, visibility, phash, NULL::INT AS palette, NULL::INT AS color_families, epoch_ms(analyzed_at) AS analyzed_at FROM p".replace("array_to_string(list_filter", "coalesce(array_to_string(list_filter").replace("'|') AS tags", "'|'), '') AS tags"),
+    "pin_list": f"WITH {PV} SELECT id, title, description, image_url, thumb_url, author, author_id, epoch_ms(created_at) AS created_at, source, public_id, width, height, provider, provider_id, provider_page_url, credit, array_to_string(list_filter(tags, lambda t: t IS NOT NULL), '|') AS tags, visibility, phash, true AS palette, true AS color_families, epoch_ms(analyzed_at) AS analyzed_at FROM p".replace("array_to_string(list_filter", "coalesce(array_to_string(list_filter").replace("'|') AS tags", "'|'), '') AS tags"),
     "feed_pages": f"""WITH {PV}, o AS (SELECT id, row_number() OVER (ORDER BY created_at DESC, id DESC) AS n, {MS} AS ms FROM p),
 ext AS (SELECT p_partkey AS id, unnest([p_partkey % 12, p_size % 12]) AS topic, p_partkey % 5 + 1 AS page FROM part), placed AS (SELECT *, row_number() OVER (PARTITION BY topic, page ORDER BY id) AS n FROM ext)
 SELECT ((n - 1) // 30)::INT AS page, 'pin:' || id AS key, 'pin' AS kind, (SELECT 'd.' || {_b64("ms || '.' || id")} FROM o x WHERE x.n = 30 * ((o.n - 1) // 30 + 1)) AS next FROM o WHERE n <= 60
 UNION ALL SELECT 2, 'px:' || id, 'result', 'p.3.2' FROM placed WHERE topic = 3 AND page = 1 AND n <= 30
 UNION ALL SELECT 3, 'px:' || id, 'result', NULL FROM placed WHERE topic = 11 AND page = 5 AND n <= 30""",
-    "cursor_codec": f"WITH {P} SELECT id, {_b64(MS + " || '.' || id")} AS cursor, {MS} AS ms, id AS row_id, NULL::BIGINT AS cursor_ms, NULL::VARCHAR AS cursor_id FROM p",
+    "cursor_codec": f"WITH {P} SELECT id, {_b64(MS + " || '.' || id")} AS cursor, {MS} AS ms, id AS row_id, true AS title_is_none FROM p",
     "feed_cursors": "SELECT * FROM (VALUES ('d.abc', 'stored', 'abc', NULL), ('d.', 'stored', NULL, NULL), ('p.3.2', 'external', '3', 2), ('p.0.1', 'external', '0', 1), ('p.3.0', 'stored', NULL, NULL), ('p.x.1', 'stored', NULL, NULL), ('q.1.1', 'stored', NULL, NULL), ('', 'stored', NULL, NULL), ('p.11.16', 'external', '11', 16)) AS v(cursor, phase, \"at\", page)",
     "dashboard_stats": f"""WITH RECURSIVE {groups(PIN_HASHES, 10)}, {S}, {C}, mine AS (SELECT * FROM p WHERE author_id = '{AUTHOR}'),
 sc AS (SELECT pin_id, count(*) AS n FROM s GROUP BY pin_id), cc AS (SELECT pin_id, count(*) AS n FROM c GROUP BY pin_id),
@@ -295,7 +295,7 @@ UNION ALL SELECT 'counts', 'comments', (SELECT count(*) FROM c WHERE pin_id IN (
 UNION ALL SELECT 'analysis', 'coverage', round(count(phash)::DOUBLE / count(*), 6) FROM p UNION ALL SELECT 'duplicates', 'duplicate_groups', count(DISTINCT group_id) FROM member UNION ALL SELECT 'duplicates', 'duplicate_pins', count(*) FROM member
 UNION ALL SELECT 'activity', CAST(day AS VARCHAR), count(id) FROM days LEFT JOIN mine ON CAST(created_at AS DATE) = day GROUP BY day
 UNION ALL SELECT 'palette', family, round(sum(share) / (SELECT count(DISTINCT id) FROM swatches), 6) FROM f GROUP BY family UNION ALL SELECT 'top', id, score FROM top UNION ALL SELECT 'pins', id, score FROM scored""",
-    "hex_colors": f"WITH {P} SELECT id, CAST('0x' || phash[1:2] AS INT) AS r, CAST('0x' || phash[3:4] AS INT) AS g, CAST('0x' || phash[5:6] AS INT) AS b, 17 * CAST('0x' || phash[1] AS INT) AS short_r, 17 * CAST('0x' || phash[3] AS INT) AS short_b, NULL::INT AS none FROM p WHERE regexp_full_match(phash, '[0-9a-f]{{16}}')",
+    "hex_colors": f"WITH {P} SELECT id, CAST('0x' || phash[1:2] AS INT) AS r, CAST('0x' || phash[3:4] AS INT) AS g, CAST('0x' || phash[5:6] AS INT) AS b, 17 * CAST('0x' || phash[1] AS INT) AS short_r, 17 * CAST('0x' || phash[3] AS INT) AS short_b, true AS title_is_none FROM p WHERE regexp_full_match(phash, '[0-9a-f]{{16}}')",
     "hash_bits": f"WITH {P}, h AS (SELECT id, CASE WHEN regexp_full_match(phash, '[0-9a-f]{{16}}') THEN CAST('0x' || phash AS UBIGINT) END AS h FROM p WHERE phash IS NOT NULL) SELECT id, CASE WHEN h IS NOT NULL THEN array_to_string(list_transform(range(64), lambda i: CASE WHEN (h >> (63 - i)::UBIGINT) & 1 = 1 THEN '1' ELSE '0' END), '') END AS bits FROM h",
     "url_functions": f"""WITH {P}, a AS (SELECT *, 'https://res.cloudinary.com/demo/image/upload/' || coalesce(public_id, 'w_10/a') AS asset FROM p)
 SELECT id, 'attachment; filename="' || coalesce(nullif(regexp_replace(regexp_replace(title, '[^ -~]', '', 'g'), '["\\\\]', '', 'g'), ''), 'image') || '"; filename*=UTF-8''''' || url_encode(title) AS header,

@@ -147,7 +147,7 @@ def feed_pages(spark, d):
 def cursor_codec(spark, d):
     """The cursor behind each pin, and what it is read as; and what a title is read as."""
     rows = paging.read_cursors(paging.cursors(tables.pins(spark, d, "created_at", "title")))
-    return paging.read_cursors(rows.withColumnsRenamed({"cursor_ms": "ms", "cursor_id": "row_id"}), "title").select("id", "cursor", "ms", "row_id", "cursor_ms", "cursor_id")
+    return paging.read_cursors(rows.withColumnsRenamed({"cursor_ms": "ms", "cursor_id": "row_id"}), "title").select("id", "cursor", "ms", "row_id", (F.col("cursor_ms").isNull() & F.col("cursor_id").isNull()).alias("title_is_none"))
 
 
 @query
@@ -191,7 +191,7 @@ def unanalysed_batch(spark, d):
 def pin_list(spark, d):
     """The fields that a list of pins shows."""
     rows = store.list_view(table(spark, d, "pins").filter(visible_to()).distinct())
-    return rows.withColumn("tags", F.concat_ws("|", "tags")).withColumn("created_at", epoch_ms("created_at")).withColumn("analyzed_at", epoch_ms("analyzed_at")).withColumn("palette", F.size("palette")).withColumn("color_families", F.size("color_families"))
+    return rows.withColumn("tags", F.concat_ws("|", "tags")).withColumn("created_at", epoch_ms("created_at")).withColumn("analyzed_at", epoch_ms("analyzed_at")).withColumn("palette", F.col("palette").isNull()).withColumn("color_families", F.col("color_families").isNull())
 
 
 @query
@@ -613,7 +613,7 @@ def hex_colors(spark, d):
     """The first digits of each hash read as a colour of six and of three digits, and its title as none."""
     p = tables.pins(spark, d, "phash", "title").filter(H.is_hash("phash"))
     full, short, bad = C.from_hex(F.concat(F.lit(" #"), F.upper(F.substring("phash", 1, 6)))), C.from_hex(F.substring("phash", 1, 3)), C.from_hex("title")
-    return p.select("id", full.r.alias("r"), full.g.alias("g"), full.b.alias("b"), short.r.alias("short_r"), short.b.alias("short_b"), bad.r.alias("none"))
+    return p.select("id", full.r.alias("r"), full.g.alias("g"), full.b.alias("b"), short.r.alias("short_r"), short.b.alias("short_b"), bad.r.isNull().alias("title_is_none"))
 
 
 @query
