@@ -77,7 +77,7 @@ SELECT arrival_id FROM numbered, last_ WHERE NOT list_contains(accepted, k)
     "p5_found": _P5.format(rank=_RANK, columns="s.version_id AS source_version, w.version_id AS width_version, d.version_id AS description_version"),
     "p5_survivors": _P5.format(rank=_RANK, columns="s.source, w.width, d.description"),
     "p6_texts": "SELECT DISTINCT doc_id, md5(coalesce(text, '')) AS digest FROM documents WHERE doc_id IS NOT NULL",
-    "p7_checks": "SELECT count(DISTINCT doc_id) AS documents, 0 AS badly_cut, 0 AS overfull, 0 AS gaps FROM documents WHERE doc_id IS NOT NULL AND text <> ''",
+    "p7_checks": "SELECT count(DISTINCT doc_id) AS documents, 0::BIGINT AS badly_cut, 0::BIGINT AS overfull, 0::BIGINT AS gaps FROM documents WHERE doc_id IS NOT NULL AND text <> ''",
     "p8_found": f"""
 WITH t AS (SELECT doc_id, text, nfc_normalize(text) AS c FROM documents WHERE text IS NOT NULL),
 plain AS (SELECT doc_id, text, regexp_replace(translate(translate(replace(replace(replace(replace(replace(c, 'ﬀ', 'ff'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬃ', 'ffi'), 'ﬄ', 'ffl'),
