@@ -66,6 +66,8 @@ def similar_classes(s: Scratch, classes: DataFrame, threshold: Fraction) -> Data
         rows = ranked.withColumn("k", F.explode(F.sequence(first, last)))
         length = F.greatest(F.lit(0), n - _ceil(p * (n + least), p + q) + 1)
         rows = rows.select(F.col("c").alias(name), F.col("n").alias(f"n{name}"), F.col("sig").alias(f"s{name}"), kn.alias("kn"), km.alias("km"), F.explode(F.slice("r", F.lit(1), length)).alias("rank"))
+        # item and both size classes (below 256 for any array) in one number: one long to move and to sort by
+        rows = rows.select(name, f"n{name}", f"s{name}", F.expr("shiftleft(rank, 16) | shiftleft(cast(kn as bigint), 8) | km").alias("key"))
         return rows if top <= HOT_ROWS else s.save(rows, f"prefixes-{name}")
 
     own = _size_class(n)
@@ -73,12 +75,11 @@ def similar_classes(s: Scratch, classes: DataFrame, threshold: Fraction) -> Data
     least = F.greatest(_least_size(k), F.when(k == own, _ceil(n * p, q)).otherwise(n))
     index = prefixes(own, _size_class(F.floor(n * q / p).cast("int")), least, "y", k, own)
 
-    on = ["rank", "kn", "km"]
     # no key has more rows than the sets of its item: there is nothing to cut if the most frequent one is in few
-    hits = probe.join(index, on) if top <= HOT_ROWS else skew_join(probe, index, on)
+    hits = probe.join(index, "key") if top <= HOT_ROWS else skew_join(probe, index, ["key"])
     need = F.ceil(F.lit(p) * (F.col("nx") + F.col("ny")) / F.lit(p + q) - 1e-9)
     lacks = lambda a, b: F.bit_count(F.col(a).bitwiseAND(F.bitwise_not(b)))
-    hits = hits.filter("x <> y and (kn <> km or x < y)").filter((F.col("nx") - lacks("sx", "sy") >= need) & (F.col("ny") - lacks("sy", "sx") >= need))
+    hits = hits.filter("x <> y and (shiftright(key, 8) & 255 <> key & 255 or x < y)").filter((F.col("nx") - lacks("sx", "sy") >= need) & (F.col("ny") - lacks("sy", "sx") >= need))
     hits = s.save(hits.select(F.least("x", "y").alias("ca"), F.greatest("x", "y").alias("cb")).distinct(), "hits")
     s.drop("prefixes-x", "prefixes-y")
     sets = ranked.select("c", "r")

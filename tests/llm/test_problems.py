@@ -124,6 +124,22 @@ def test_similar_sets_of_one_size_class(spark, threshold):
     assert got == want and len(want) == len(sets) // 2
 
 
+def test_classes_stand_for_all_pairs(spark):
+    """A set of many ids is one class; pairs of classes and members expand to the pairs of ids."""
+    from mosaiq.llm.setjoin import similar_set_classes
+
+    sets = {f"a{i}": list("abcde") for i in range(40)} | {f"b{i}": list("abcdf") for i in range(30)} | {"c": list("vwxyz"), "d": list("abcd"), "e": ["q"]}
+    found = similar_set_classes(spark.createDataFrame(list(sets.items()), "id string, items array<string>"), "0.66", least=2)
+    pairs, members = [tuple(r) for r in found["pairs"].collect()], {r.id: r.c for r in found["members"].collect()}
+    assert set(members) == set(sets) - {"c", "e"} and len(set(members.values())) == 3 and len(pairs) == 5
+    of = defaultdict(list)
+    for i, c in members.items():
+        of[c].append(i)
+    got = {tuple(sorted((x, y))) for ca, cb in pairs for x in of[ca] for y in of[cb] if x != y}
+    want = {(x, y) for x, y in combinations(sorted(members), 2) if len(set(sets[x]) & set(sets[y])) >= 0.66 * len(set(sets[x]) | set(sets[y]))}
+    assert got == want
+
+
 def test_no_sets(spark):
     assert similar_set_pairs(spark.createDataFrame([("a", [])], "id string, items array<string>")).collect() == []
 
@@ -555,6 +571,16 @@ def test_other_look(a, b):
     assert skeleton(a) != skeleton(b)
 
 
+def test_classes_of_look_alikes(spark, hot):
+    from mosaiq.llm.skeleton import look_alike_classes
+
+    rows = [(1, "раураl"), (2, "paypal"), (3, "paypal"), (3, "paypal"), (4, "other"), (5, "other"), (6, None), (7, "ｏｎｅ"), (8, "one")]
+    got = look_alike_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    at = {r.id: (bytes(r.look_class), bytes(r.text_class)) for r in got}
+    assert sorted(at) == [1, 2, 3, 7, 8] and len(got) == 5
+    assert at[1][0] == at[2][0] == at[3][0] != at[7][0] == at[8][0] and at[2][1] == at[3][1] != at[1][1] and at[7][1] != at[8][1]
+
+
 def test_pairs_of_look_alikes(spark, hot):
     rows = [(1, "раураl"), (2, "paypal"), (3, "paypal"), (4, "paypal"), (5, "pаypal"), (6, None), (7, ""), (8, "  "), (9, " "), (10, "​"), (11, "Paypal"), (2, "paypal"), (None, "pаypal")]
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id bigint, text string, shape int")
