@@ -94,16 +94,18 @@ def similar_set_classes(sets: DataFrame, threshold: str = "0.7", least: int = 1,
 
     sets: (id, items), each id once, items sorted, without nulls and repeats; sets below `least` items, empty ones always,
     take no part. ca = cb stands for a set that several ids have. A class c has a number, without meaning beyond the
-    result. The size is that of the distinct sets, however many ids share one. Both are tables of the scratch folder.
+    result. The size is that of the distinct sets, however many ids share one. Both are tables of the scratch folder. Ids
+    come back to their class by two hashes of the set, 128 bits together, so that sets are moved once only.
     """
     s = scratch or Scratch(sets.sparkSession, "setjoin")
     sets = s.save(sets.filter(F.size("items") >= max(1, least)).select("id", "items"), "sets")
+    digest = [F.xxhash64("items").alias("d1"), F.xxhash64(F.lit(1), "items").alias("d2")]
     grouped = sets.groupBy("items").agg(F.count(F.lit(1)).alias("copies"))
-    grouped = s.save(grouped.select(F.monotonically_increasing_id().alias("c"), "items", "copies"), "classes")
+    grouped = s.save(grouped.select(F.monotonically_increasing_id().alias("c"), "items", "copies", *digest), "classes")
     pairs = similar_classes(s, grouped.select("c", "items"), Fraction(threshold))
     pairs = s.save(pairs.unionByName(grouped.filter("copies > 1").select(F.col("c").alias("ca"), F.col("c").alias("cb"))), "pairs")
-    paired = grouped.join(pairs.select(F.explode(F.array("ca", "cb")).alias("c")).distinct(), "c", "left_semi")
-    members = skew_join(sets, s.save(paired.select("c", "items"), "paired"), ["items"], unique=True)
+    paired = grouped.select("c", "d1", "d2").join(pairs.select(F.explode(F.array("ca", "cb")).alias("c")).distinct(), "c", "left_semi")
+    members = skew_join(sets.select("id", *digest), s.save(paired, "paired"), ["d1", "d2"], unique=True)
     return {"pairs": pairs, "members": s.save(members.select("id", "c"), "members")}
 
 
