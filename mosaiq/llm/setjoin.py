@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mosaiq.llm.classes import member_pairs
-from mosaiq.operators.skew import HOT_ROWS, skew_join
+from mosaiq.operators import skew
+from mosaiq.operators.skew import skew_join
 from mosaiq.runtime import Scratch, dense_ids
 
 #: Up to this size every set size is its own size class; above, eight classes a doubling.
@@ -38,7 +39,7 @@ def ranked_sets(s: Scratch, classes: DataFrame) -> tuple[DataFrame, int]:
     order = s.save(order.select("item", "rank", "df"), "ranks")
     top = order.agg(F.max("df")).first()[0] or 0
     ranks = order.select("item", "rank")
-    ranked = rows.join(ranks, "item") if top <= HOT_ROWS else skew_join(s.save(rows, "items"), ranks, ["item"], unique=True)
+    ranked = rows.join(ranks, "item") if top <= skew.HOT_ROWS else skew_join(s.save(rows, "items"), ranks, ["item"], unique=True)
     bit = F.expr("shiftleft(1L, cast(rank % 64 as int))")
     ranked = ranked.groupBy("c").agg(F.sort_array(F.collect_list("rank")).alias("r"), F.bit_or(bit).alias("sig"))
     ranked = s.save(ranked.withColumn("n", F.size("r")), "ranked")
@@ -68,7 +69,7 @@ def similar_classes(s: Scratch, classes: DataFrame, threshold: Fraction) -> Data
         rows = rows.select(F.col("c").alias(name), F.col("n").alias(f"n{name}"), F.col("sig").alias(f"s{name}"), kn.alias("kn"), km.alias("km"), F.explode(F.slice("r", F.lit(1), length)).alias("rank"))
         # item and both size classes (below 256 for any array) in one number: one long to move and to sort by
         rows = rows.select(name, f"n{name}", f"s{name}", F.expr("shiftleft(rank, 16) | shiftleft(cast(kn as bigint), 8) | km").alias("key"))
-        return rows if top <= HOT_ROWS else s.save(rows, f"prefixes-{name}")
+        return rows if top <= skew.HOT_ROWS else s.save(rows, f"prefixes-{name}")
 
     own = _size_class(n)
     probe = prefixes(_size_class(_ceil(n * p, q)), own, F.greatest(_least_size(k), _ceil(n * p, q)), "x", own, k)
@@ -76,7 +77,7 @@ def similar_classes(s: Scratch, classes: DataFrame, threshold: Fraction) -> Data
     index = prefixes(own, _size_class(F.floor(n * q / p).cast("int")), least, "y", k, own)
 
     # no key has more rows than the sets of its item: there is nothing to cut if the most frequent one is in few
-    hits = probe.join(index, "key") if top <= HOT_ROWS else skew_join(probe, index, ["key"])
+    hits = probe.join(index, "key") if top <= skew.HOT_ROWS else skew_join(probe, index, ["key"])
     need = F.ceil(F.lit(p) * (F.col("nx") + F.col("ny")) / F.lit(p + q) - 1e-9)
     lacks = lambda a, b: F.bit_count(F.col(a).bitwiseAND(F.bitwise_not(b)))
     hits = hits.filter("x <> y and (shiftright(key, 8) & 255 <> key & 255 or x < y)").filter((F.col("nx") - lacks("sx", "sy") >= need) & (F.col("ny") - lacks("sy", "sx") >= need))
