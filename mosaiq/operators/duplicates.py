@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from mosaiq.functions.hashing import classify, hamming, hash_bits, is_hash
 from mosaiq.operators.filters import visible_to
-from mosaiq.operators.skew import HOT_ROWS, skew_join
+from mosaiq.operators import skew
+from mosaiq.operators.skew import skew_join
 from mosaiq.runtime import Scratch
 
 #: Rows to which one task expands hashes, to all values within a radius of their bands.
@@ -125,7 +126,7 @@ def components(links: DataFrame) -> DataFrame:
     turn, before = 0, None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        several = edges.count() > HOT_ROWS  # else no node can be hot, and its edges needn't be written for a second look
+        several = edges.count() > skew.HOT_ROWS  # else no node can be hot, and its edges needn't be written for a second look
         both = s.save(both, f"b{turn}") if several else both
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = skew_join(both, s.save(least, f"m{turn}"), ["u"], unique=True) if several else both.join(least, "u")

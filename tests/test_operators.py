@@ -115,7 +115,10 @@ def test_duplicate_groups(spark):
     assert duplicates.duplicate_groups(df.limit(0), 3).count() == 0
 
 
-def test_components_of_a_chain_and_a_star(spark):
+@pytest.mark.parametrize("hot", [5, 100_000])
+def test_components_of_a_chain_and_a_star(spark, monkeypatch, hot):
+    monkeypatch.setattr(skew, "HOT_ROWS", hot)
+    monkeypatch.setattr(skew.skew_join, "__kwdefaults__", skew.skew_join.__kwdefaults__ | {"least": hot})
     links = [(i, i + 1) for i in range(100, 160)] + [(0, i) for i in range(1, 50)] + [(7, 7)]
     random.Random(1).shuffle(links)
     got = {r.id: r.group_id for r in duplicates.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
